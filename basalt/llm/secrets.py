@@ -22,6 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WINDOW, OVERLAP = 1 << 20, 1 << 14
 MASK = "REDACTED"
@@ -430,7 +431,7 @@ def mask_columns(df: DataFrame, text: str = "content", signature: str = "signatu
     name = "n_secrets"
     while name in df.columns:
         name = "_" + name
-    schema = df.schema.add(name, "int")
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
     names = df.columns
     ti, si, pi = names.index(text), names.index(signature) if signature in names else -1, names.index(path) if path in names else -1
     config = re.compile(CONFIG)
