@@ -36,17 +36,19 @@ from basalt.session import stage
 SPAN, STEP = 16, 8
 RANK, OVER = 56, 8
 COSINE = 0.5
+COMMON = 0.35
+DENSE, TELLING = 0.75, 0.74
 LEAST = 11
 MOST_ITEM_WORDS = 2_000_000
 
 WORD = re.compile(r"[a-z0-9_]+")
-HIDDEN = re.compile("[­​-‏⁠﻿]")
+HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 # Letters of other scripts that look like Latin ones.
 ALIKE = str.maketrans(
     "аеорсхуіјѕԁԛАВЕКМНОРСТХІοανΑΒΕΗΙΚΜΝΟΡΤΧ",
     "aeopcxyijsdqABEKMHOPCTXIoavABEHIKMNOPTX",
 )
-OTHER = re.compile("[Ͱ-ԯ]")
+OTHER = re.compile("[\u0370-\u052f]")
 BROKEN = re.compile(r"(\w)-\s*\n\s*(\w)")
 TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]{0,9}(?:\s[^<>]{0,200})?/?>")
 
@@ -99,6 +101,11 @@ class Items:
                 if len(w) >= LEAST:
                     self.sequences.append((i, w))
         self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, w in self.sequences for x in w}))}
+        used = Counter(x for _, w in self.sequences for x in set(w))
+        n = len(self.sequences)
+        # what a word of an item tells: little if many items use it, as items share their skeletons
+        self.telling = np.array([np.log((1 + n) / (1 + used[w])) / np.log(1 + n) for w in self.vocabulary], np.float32)
+        self.rare = np.array([used[w] <= max(2, n / 20) for w in self.vocabulary], bool)
         self.coded = [(i, np.array([self.vocabulary[x] for x in w], np.int32)) for i, w in self.sequences]
 
     def passages(self) -> list[tuple[int, int, int]]:
@@ -274,8 +281,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         return spark.createDataFrame([], out_ddl)
     coded = stage(coded_documents(docs, side.vocabulary, key, text), "words")
     df, total = document_frequency(coded, n)
-    # words in more than a tenth of all documents tell nothing about a passage
-    idf = np.where(df > 0.1 * max(total, 1), 0.0, np.log((1 + total) / (1 + df)))
+    # words in more than a third of all documents tell nothing about a passage
+    idf = np.where(df > COMMON * max(total, 1), 0.0, np.log((1 + total) / (1 + df)))
     idf = (idf / max(idf.max(), 1e-9)).astype(np.float32)
     basis = singular_vectors(coded, idf)
     latent = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32)
@@ -292,13 +299,13 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     seq = np.array([x[0] for x in passages], np.int32)[use]
     # a window that holds a passage holds most of its weight, so lighter windows are not projected
     least_mass = 0.45 * float(np.min(np.array(mass)[use])) if use.any() else 0.0
-    shared = spark.sparkContext.broadcast((latent, idf, p, seq, side.coded, least_mass))
+    shared = spark.sparkContext.broadcast((latent, idf, p, seq, side.coded, least_mass, side.telling, side.rare))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, w_idf, pas, owner, seqs, least = shared.value
+        lat, w_idf, pas, owner, seqs, least, telling, is_rare = shared.value
         weight = np.append(w_idf, 0).astype(np.float32)
         where: dict[int, dict[int, list[int]]] = {}
-        rare = [set(c[w_idf[c] > 0].tolist()) for _, c in seqs]
+        rare = [set(c[is_rare[c]].tolist()) for _, c in seqs]
         for b in batches:
             w, off = _batch(b)
             keys = b.column(0).to_pylist()
@@ -327,7 +334,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                         i, s = divmod(z, len(seqs))
                         d = int(doc[i])
                         hit = len(set(w[start[i] : stop[i]].tolist()) & rare[s])
-                        if hit >= 4:
+                        if hit >= 3:
                             k = (d, s)
                             found.setdefault(k, 0)
                             found[k] |= 1 << int(nth[i])
@@ -346,8 +353,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     while z + 1 < len(hits) and (hits[z + 1] - hits[z]) * STEP <= INTERRUPTED + SPAN:
                         z += 1
                     lo, hi = max(0, hits[a] * STEP - INTERRUPTED - SPAN), hits[z] * STEP + 2 * SPAN + INTERRUPTED
-                    got = chain(text_words[lo:hi], seqs[s][1], weight, where[s])
-                    if leaked(*got, seqs[s][1], weight):
+                    got = chain(text_words[lo:hi], seqs[s][1], telling, where[s])
+                    if leaked(*got, seqs[s][1], telling):
                         out_k.append(keys[d])
                         out_i.append(seqs[s][0])
                         out_n.append(got[0])
@@ -363,4 +370,4 @@ def leaked(count: int, total: float, a: int, b: int, item: np.ndarray, weight: n
     if count < LEAST or b - a < 12:
         return False
     whole = float(weight[item[a:b]].sum())
-    return count >= 0.68 * (b - a) and total >= 0.62 * whole and total >= 1.5
+    return count >= DENSE * (b - a) and total >= TELLING * whole

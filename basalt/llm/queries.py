@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basalt.llm import history, layout, neighbours, packing, secrets, splitting
+from basalt.llm import history, layout, leakage, neighbours, packing, secrets, splitting, syntax
 from basalt.session import table
 
 
@@ -59,10 +59,26 @@ def p4_top10(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.broken(table(spark, d, "source_files"))
+
+
+def p5_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(table(spark, d, "source_files"), table(spark, d, "files"))
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "documents"))
 
