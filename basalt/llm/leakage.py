@@ -37,8 +37,11 @@ SPAN, STEP = 16, 8
 RANK, OVER = 56, 8
 COSINE = 0.5
 COMMON = 0.35
-DENSE, TELLING = 0.75, 0.74
-LEAST = 11
+DENSE, OWN = 0.75, 0.7
+LEAST = 12
+SLICE = 1 << 15
+RARE = 3
+SHARED = 3
 MOST_ITEM_WORDS = 2_000_000
 
 WORD = re.compile(r"[a-z0-9_]+")
@@ -101,11 +104,24 @@ class Items:
                 if len(w) >= LEAST:
                     self.sequences.append((i, w))
         self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, w in self.sequences for x in w}))}
+        # items share skeletons: a place whose three-word runs all stand in few items is the item's own
+        owners: dict[tuple, set[int]] = {}
+        for i, w in self.sequences:
+            for k in range(len(w) - 2):
+                owners.setdefault(tuple(w[k : k + 3]), set()).add(i)
+        self.own: list[np.ndarray] = []
+        for _, w in self.sequences:
+            own = np.ones(len(w), bool)
+            for k in range(len(w) - 2):
+                if len(owners[tuple(w[k : k + 3])]) >= SHARED:
+                    own[k : k + 3] = False
+            self.own.append(own)
         used = Counter(x for _, w in self.sequences for x in set(w))
         n = len(self.sequences)
-        # what a word of an item tells: little if many items use it, as items share their skeletons
+        # what a word tells of an item: little, if many items use it
         self.telling = np.array([np.log((1 + n) / (1 + used[w])) / np.log(1 + n) for w in self.vocabulary], np.float32)
-        self.rare = np.array([used[w] <= max(2, n / 20) for w in self.vocabulary], bool)
+        told = {x for (_, w), own in zip(self.sequences, self.own, strict=True) for x, o in zip(w, own, strict=True) if o}
+        self.rare = np.array([w in told for w in self.vocabulary], bool)
         self.coded = [(i, np.array([self.vocabulary[x] for x in w], np.int32)) for i, w in self.sequences]
 
     def passages(self) -> list[tuple[int, int, int]]:
@@ -113,8 +129,9 @@ class Items:
         out = []
         for s, (_, c) in enumerate(self.coded):
             n = len(c)
-            for a in range(0, max(1, n - SPAN + STEP // 2 + 1), STEP // 2):
-                out.append((s, a, min(n, a + SPAN)))
+            # the last window ends with the text, so that each has SPAN words if the text has
+            starts = sorted({*range(0, max(1, n - SPAN + 1), STEP), max(0, n - SPAN)})
+            out += [(s, a, min(n, a + SPAN)) for a in starts]
         return out
 
 
@@ -179,20 +196,21 @@ def singular_vectors(coded: DataFrame, idf: np.ndarray, rank: int = RANK, over:
         y = np.zeros((n, r), np.float64)
         for b in batches:
             w, off = _batch(b)
-            if not len(w):
-                continue
             # a passage is SPAN words of one document, one after the other
             place = np.arange(len(w)) - np.repeat(off[:-1], np.diff(off))
-            first = np.flatnonzero(place % SPAN == 0)
             passage = np.cumsum(place % SPAN == 0) - 1
-            ar = np.add.reduceat(m[w], first, axis=0)
-            keep = np.flatnonzero((w >= 0) & (w_idf[np.maximum(w, 0)] > 0))
-            order = keep[np.argsort(w[keep], kind="stable")]
-            ws = w[order]
-            if len(ws):
-                starts = np.flatnonzero(np.append(True, ws[1:] != ws[:-1]))
-                sums = np.add.reduceat(ar[passage[order]], starts, axis=0)
-                y[ws[starts]] += sums * w_idf[ws[starts]][:, None]
+            tells = (w >= 0) & (w_idf[np.maximum(w, 0)] > 0)
+            w, passage = w[tells], passage[tells]
+            # in slices that stay in the processor's cache
+            for at in range(0, len(w), SLICE):
+                ws, ps = w[at : at + SLICE], passage[at : at + SLICE]
+                first = np.flatnonzero(np.append(True, ps[1:] != ps[:-1]))
+                ar = np.add.reduceat(m[ws], first, axis=0)
+                order = np.argsort(ws, kind="stable")
+                sorted_ = ws[order]
+                starts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+                sums = np.add.reduceat(ar[np.cumsum(np.append(False, ps[1:] != ps[:-1]))[order]], starts, axis=0)
+                y[sorted_[starts]] += sums * w_idf[sorted_[starts]][:, None]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, n * r + 1, r), pa.int32()), pa.array(y.ravel()))], names=["word", "y"])
 
     def add(t: pa.Table) -> pa.Table:
@@ -219,56 +237,85 @@ def singular_vectors(coded: DataFrame, idf: np.ndarray, rank: int = RANK, over:
     return u[:, :rank].astype(np.float32)
 
 
-def chain(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, where: dict[int, list[int]]) -> tuple[int, float, int, int]:
-    """The best chain of common words in order: words, their weight, and the span [from, to) it takes in
-    the item. Neighbours in a chain lie within ``GAP`` words on both sides; one interruption of the
-    document may be longer."""
-    pairs = [(p, q) for p in range(len(doc)) for q in where.get(int(doc[p]), ())]
-    if not pairs:
-        return 0, 0.0, 0, 0
+def chain(doc: list[int], item: list[int], places: dict[int, list[tuple[int, int]]], telling: list[float]) -> tuple[int, int, float, float, int]:
+    """The best chain of the item's own words that document and item have in order.
+
+    ``places``: for each own word its positions in the item, with their rank among its own words.
+    Neighbours in a chain lie within ``GAP`` words of the document more than of the item, but for one
+    interruption of at most ``INTERRUPTED``. Returns the common words in order over the chain's spans,
+    of all words; the number of own words in the chain, their weight, the weight of all own words in the
+    item's span; and that span's length.
+    """
+    pairs = [(p, q, r, telling[w]) for p, w in enumerate(doc) if w in places for q, r in places[w]]
     n = len(pairs)
-    best = [[0.0, 0.0] for _ in range(n)]  # score without and with the interruption
+    if n < RARE:
+        return 0, 0, 0.0, 1.0, 0
+    score = [[0.0, -1.0] for _ in range(n)]  # without and with the interruption
     back: list[list[tuple[int, int] | None]] = [[None, None] for _ in range(n)]
     low = 0
     for k in range(n):
-        p, q = pairs[k]
-        w = 1.0 + weight[item[q]]
-        b0, b1, f0, f1 = w, 0.0, None, None
+        p, q, r, w = pairs[k]
+        b0, b1, f0, f1 = w, -1.0, None, None
         while pairs[low][0] < p - INTERRUPTED:
             low += 1
         for j in range(k - 1, low - 1, -1):
-            pj, qj = pairs[j]
-            dq = q - qj
-            if pj == p or dq < 1 or dq > GAP:
+            pj, qj, rj, _ = pairs[j]
+            dr = r - rj
+            if dr < 1 or dr > 5 or pj == p or q - qj > 2 * GAP:
                 continue
-            dp = p - pj
-            cost = 0.35 * (dq - 1) + 0.35 * min(max(0, dp - 1), GAP)
-            if dp <= GAP:
-                x0, x1 = best[j]
-                if x0 - cost + w > b0:
-                    b0, f0 = x0 - cost + w, (j, 0)
-                if x1 and x1 - cost + w > b1:
-                    b1, f1 = x1 - cost + w, (j, 1)
-            elif dq <= 3:
-                x0 = best[j][0] - 2.0
-                if x0 + w > b1:
-                    b1, f1 = x0 + w, (j, 0)
-        best[k] = [b0, b1]
+            lost = 0.25 * (dr - 1)
+            if p - pj <= GAP + q - qj:
+                s0, s1 = score[j]
+                if s0 - lost + w > b0:
+                    b0, f0 = s0 - lost + w, (j, 0)
+                if s1 >= 0 and s1 - lost + w > b1:
+                    b1, f1 = s1 - lost + w, (j, 1)
+            elif dr <= 2:
+                x = score[j][0] - lost - 0.4 + w
+                if x > b1:
+                    b1, f1 = x, (j, 0)
+        score[k] = [b0, b1]
         back[k] = [f0, f1]
-    k, c = max(((k, c) for k in range(n) for c in (0, 1)), key=lambda x: best[x[0]][x[1]])
-    last = pairs[k][1] + 1
-    count, total = 0, 0.0
+    k, c = max(((k, c) for k in range(n) for c in (0, 1)), key=lambda x: score[x[0]][x[1]])
+    p1, q1, r1, _ = pairs[k]
+    hits, total = 0, 0.0
+    cuts = []
     while True:
-        q = pairs[k][1]
-        count += 1
-        total += float(weight[item[q]])
+        p, q, r, w = pairs[k]
+        hits += 1
+        total += w
         step = back[k][c]
         if step is None:
-            return count, total, q, last
+            break
+        if step[1] != c:  # the interruption: the document is read up to it and after it
+            cuts.append((pairs[step[0]][0], p))
         k, c = step
-
-
-GAP, INTERRUPTED = 7, 120
+    if hits < RARE:
+        return 0, 0, 0.0, 1.0, 0
+    a, z = max(0, q - 3), min(len(item), q1 + 4)
+    lo, hi = max(0, p - 4), p1 + 5
+    text = doc[lo:hi] if not cuts else doc[lo : cuts[0][0] + 4] + doc[max(cuts[0][1] - 3, cuts[0][0] + 4) : hi]
+    held = {i for spots in places.values() for i, _ in spots}
+    whole = sum(telling[item[i]] for i in range(q, q1 + 1) if i in held)
+    return common(text, item[a:z]), hits, total, whole, q1 + 1 - q
+
+
+def common(a: list[int], b: list[int]) -> int:
+    """Length of the longest common subsequence, one machine word's worth of ``b`` at a time."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    v = full
+    for x in a:
+        m = where.get(x)
+        if m:
+            u = v & m
+            v = ((v + u) | (v - u)) & full
+    return len(b) - v.bit_count()
+
+
+GAP, INTERRUPTED = 9, 120
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", cosine: float = COSINE) -> DataFrame:
@@ -298,27 +345,29 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     p = (p[use] / norm[use][:, None]).astype(np.float32)
     seq = np.array([x[0] for x in passages], np.int32)[use]
     # a window that holds a passage holds most of its weight, so lighter windows are not projected
-    least_mass = 0.45 * float(np.min(np.array(mass)[use])) if use.any() else 0.0
-    shared = spark.sparkContext.broadcast((latent, idf, p, seq, side.coded, least_mass, side.telling, side.rare))
+    least_mass = 0.5 * float(np.min(np.array(mass)[use])) if use.any() else 0.0
+    shared = spark.sparkContext.broadcast((latent, idf, p, seq, side.coded, least_mass, side.own, side.rare, side.telling.tolist()))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, w_idf, pas, owner, seqs, least, telling, is_rare = shared.value
+        lat, w_idf, pas, owner, seqs, least, owned, is_rare, telling = shared.value
         weight = np.append(w_idf, 0).astype(np.float32)
-        where: dict[int, dict[int, list[int]]] = {}
-        rare = [set(c[is_rare[c]].tolist()) for _, c in seqs]
+        where: dict[int, dict[int, list[tuple[int, int]]]] = {}
+        rare = [set(c[o].tolist()) for (_, c), o in zip(seqs, owned, strict=True)]
         for b in batches:
             w, off = _batch(b)
             keys = b.column(0).to_pylist()
             found: dict[tuple[int, int], int] = {}
             if len(w):
                 run = np.concatenate([[0], np.cumsum(weight[w], dtype=np.float64)])
+                rares = np.concatenate([[0], np.cumsum(np.append(is_rare, False)[w])])
                 sizes = np.diff(off)
                 count = np.maximum(1, -(-(sizes - SPAN) // STEP) + 1)
                 doc = np.repeat(np.arange(len(sizes)), count)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
                 start = off[doc] + nth * STEP
                 stop = np.minimum(start + SPAN, off[doc + 1])
-                heavy = np.flatnonzero(run[stop] - run[start] >= least)
+                # a candidate needs RARE different words of one item, so a window with fewer is none
+                heavy = np.flatnonzero((run[stop] - run[start] >= least) & (rares[stop] - rares[start] >= RARE))
                 for at in range(0, len(heavy), 4096):
                     h = heavy[at : at + 4096]
                     # the words of the windows, side by side; a window cut off by its text's end is filled with none
@@ -334,18 +383,22 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                         i, s = divmod(z, len(seqs))
                         d = int(doc[i])
                         hit = len(set(w[start[i] : stop[i]].tolist()) & rare[s])
-                        if hit >= 3:
+                        if hit >= RARE:
                             k = (d, s)
                             found.setdefault(k, 0)
                             found[k] |= 1 << int(nth[i])
             out_k, out_i, out_n = [], [], []
             for (d, s), bits in found.items():
                 if s not in where:
-                    m: dict[int, list[int]] = {}
+                    m: dict[int, list[tuple[int, int]]] = {}
+                    rank = 0
                     for q, x in enumerate(seqs[s][1].tolist()):
-                        m.setdefault(x, []).append(q)
+                        if owned[s][q]:
+                            m.setdefault(x, []).append((q, rank))
+                            rank += 1
                     where[s] = m
-                text_words = w[off[d] : off[d + 1]]
+                text_words = w[off[d] : off[d + 1]].tolist()
+                item_words = seqs[s][1].tolist()
                 hits = [i for i in range(bits.bit_length()) if bits >> i & 1]
                 a = 0
                 while a < len(hits):
@@ -353,8 +406,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     while z + 1 < len(hits) and (hits[z + 1] - hits[z]) * STEP <= INTERRUPTED + SPAN:
                         z += 1
                     lo, hi = max(0, hits[a] * STEP - INTERRUPTED - SPAN), hits[z] * STEP + 2 * SPAN + INTERRUPTED
-                    got = chain(text_words[lo:hi], seqs[s][1], telling, where[s])
-                    if leaked(*got, seqs[s][1], telling):
+                    got = chain(text_words[lo:hi], item_words, where[s], telling)
+                    if leaked(*got):
                         out_k.append(keys[d])
                         out_i.append(seqs[s][0])
                         out_n.append(got[0])
@@ -365,9 +418,6 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     return coded.mapInArrow(look, out_ddl).groupBy(key, item).agg(F.max("words").alias("words"))
 
 
-def leaked(count: int, total: float, a: int, b: int, item: np.ndarray, weight: np.ndarray) -> bool:
-    """The answer check: enough words, dense in the item's span, and the rare ones among them."""
-    if count < LEAST or b - a < 12:
-        return False
-    whole = float(weight[item[a:b]].sum())
-    return count >= DENSE * (b - a) and total >= TELLING * whole
+def leaked(count: int, own: int, total: float, whole: float, span: int) -> bool:
+    """The answer check: enough words, dense in the item's span, and the item's own words among them."""
+    return count >= LEAST and span >= 8 and count >= DENSE * span and own >= RARE + 1 and total >= OWN * whole
