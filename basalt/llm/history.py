@@ -245,13 +245,15 @@ def day_batches(feats: DataFrame, batches: int) -> list[tuple[int, int]]:
     """Ranges of UTC days [from, to) that hold about equally many facts."""
     day = 86_400_000
     days = feats.groupBy(F.floor(F.col("at") / day).cast("bigint").alias("day")).count().orderBy("day").collect()
+    if not days:
+        return []
     total, cuts, run = sum(r["count"] for r in days), [], 0
     for r in days:
         if not cuts or run >= total / batches:
             cuts.append(r["day"])
             run = 0
         run += r["count"]
-    ends = [*cuts[1:], (days[-1]["day"] + 1) if days else 0]
+    ends = [*cuts[1:], days[-1]["day"] + 1]
     return [(a * day, b * day) for a, b in zip(cuts, ends, strict=True)]
 
 
