@@ -35,12 +35,14 @@ from basalt.session import stage
 
 SPAN, STEP = 16, 8
 RANK, OVER = 56, 8
-COSINE = 0.5
+COSINE = 0.65
 COMMON = 0.35
 DENSE, OWN = 0.75, 0.7
 LEAST = 12
 SLICE = 1 << 15
-RARE = 3
+RARE = 4
+PART = 0.45
+OWN_WORDS = 4
 SHARED = 3
 MOST_ITEM_WORDS = 2_000_000
 
@@ -248,7 +250,7 @@ def chain(doc: list[int], item: list[int], places: dict[int, list[tuple[int, int
     """
     pairs = [(p, q, r, telling[w]) for p, w in enumerate(doc) if w in places for q, r in places[w]]
     n = len(pairs)
-    if n < RARE:
+    if n < OWN_WORDS:
         return 0, 0, 0.0, 1.0, 0
     score = [[0.0, -1.0] for _ in range(n)]  # without and with the interruption
     back: list[list[tuple[int, int] | None]] = [[None, None] for _ in range(n)]
@@ -290,13 +292,12 @@ def chain(doc: list[int], item: list[int], places: dict[int, list[tuple[int, int
         if step[1] != c:  # the interruption: the document is read up to it and after it
             cuts.append((pairs[step[0]][0], p))
         k, c = step
-    if hits < RARE:
+    if hits < OWN_WORDS:
         return 0, 0, 0.0, 1.0, 0
     a, z = max(0, q - 3), min(len(item), q1 + 4)
     lo, hi = max(0, p - 4), p1 + 5
     text = doc[lo:hi] if not cuts else doc[lo : cuts[0][0] + 4] + doc[max(cuts[0][1] - 3, cuts[0][0] + 4) : hi]
-    held = {i for spots in places.values() for i, _ in spots}
-    whole = sum(telling[item[i]] for i in range(q, q1 + 1) if i in held)
+    whole = sum(telling[x] for x, spots in places.items() for i, _ in spots if q <= i <= q1)
     return common(text, item[a:z]), hits, total, whole, q1 + 1 - q
 
 
@@ -334,25 +335,30 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     basis = singular_vectors(coded, idf)
     latent = np.vstack([basis * idf[:, None], np.zeros((1, basis.shape[1]), np.float32)]).astype(np.float32)
     passages = side.passages()
-    rows, mass = [], []
+    rows, mass, own = [], [], []
     for s, a, b in passages:
         c = side.coded[s][1][a:b]
         rows.append(latent[c].sum(axis=0))
+        own.append(int(side.own[s][a:b].sum()))
         mass.append(float(idf[c].sum()))
     p = np.array(rows, np.float32)
     norm = np.linalg.norm(p, axis=1)
     use = norm > 1e-6
     p = (p[use] / norm[use][:, None]).astype(np.float32)
     seq = np.array([x[0] for x in passages], np.int32)[use]
+    needs = np.array(own)[use]
     # a window that holds a passage holds most of its weight, so lighter windows are not projected
     least_mass = 0.5 * float(np.min(np.array(mass)[use])) if use.any() else 0.0
-    shared = spark.sparkContext.broadcast((latent, idf, p, seq, side.coded, least_mass, side.own, side.rare, side.telling.tolist()))
+    shared = spark.sparkContext.broadcast((latent, idf, p, seq, needs, side.coded, least_mass, side.own, side.rare, side.telling.tolist()))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, w_idf, pas, owner, seqs, least, owned, is_rare, telling = shared.value
+        lat, w_idf, pas, owner, needs, seqs, least, owned, is_rare, telling = shared.value
         weight = np.append(w_idf, 0).astype(np.float32)
         where: dict[int, dict[int, list[tuple[int, int]]]] = {}
-        rare = [set(c[o].tolist()) for (_, c), o in zip(seqs, owned, strict=True)]
+        items_as_lists = [c.tolist() for _, c in seqs]
+        mine = np.zeros((len(seqs), len(w_idf) + 1), bool)
+        for t, ((_, c), o) in enumerate(zip(seqs, owned, strict=True)):
+            mine[t, c[o]] = True
         for b in batches:
             w, off = _batch(b)
             keys = b.column(0).to_pylist()
@@ -378,15 +384,12 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     x /= np.where(length > 1e-9, length, 1)[:, None]
                     near = x @ pas.T
                     r, c = np.nonzero(near >= cosine)
-                    cand = np.unique(h[r].astype(np.int64) * len(seqs) + owner[c])
-                    for z in cand.tolist():
-                        i, s = divmod(z, len(seqs))
-                        d = int(doc[i])
-                        hit = len(set(w[start[i] : stop[i]].tolist()) & rare[s])
-                        if hit >= RARE:
-                            k = (d, s)
-                            found.setdefault(k, 0)
-                            found[k] |= 1 << int(nth[i])
+                    # the passage's own words that the window holds, for all candidates at once
+                    held = mine[owner[c][:, None], wid[r]].sum(axis=1)
+                    ok = held >= np.maximum(RARE, PART * needs[c])
+                    r, s = r[ok], owner[c[ok]]
+                    for d, t, i in set(zip(doc[h[r]].tolist(), s.tolist(), nth[h[r]].tolist(), strict=True)):
+                        found[d, t] = found.get((d, t), 0) | 1 << i
             out_k, out_i, out_n = [], [], []
             for (d, s), bits in found.items():
                 if s not in where:
@@ -397,8 +400,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                             m.setdefault(x, []).append((q, rank))
                             rank += 1
                     where[s] = m
-                text_words = w[off[d] : off[d + 1]].tolist()
-                item_words = seqs[s][1].tolist()
+                item_words = items_as_lists[s]
                 hits = [i for i in range(bits.bit_length()) if bits >> i & 1]
                 a = 0
                 while a < len(hits):
@@ -406,7 +408,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     while z + 1 < len(hits) and (hits[z + 1] - hits[z]) * STEP <= INTERRUPTED + SPAN:
                         z += 1
                     lo, hi = max(0, hits[a] * STEP - INTERRUPTED - SPAN), hits[z] * STEP + 2 * SPAN + INTERRUPTED
-                    got = chain(text_words[lo:hi], item_words, where[s], telling)
+                    got = chain(w[off[d] + lo : min(off[d] + hi, off[d + 1])].tolist(), item_words, where[s], telling)
                     if leaked(*got):
                         out_k.append(keys[d])
                         out_i.append(seqs[s][0])
@@ -420,4 +422,4 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 def leaked(count: int, own: int, total: float, whole: float, span: int) -> bool:
     """The answer check: enough words, dense in the item's span, and the item's own words among them."""
-    return count >= LEAST and span >= 8 and count >= DENSE * span and own >= RARE + 1 and total >= OWN * whole
+    return count >= LEAST and span >= 8 and count >= DENSE * span and own >= OWN_WORDS and total >= OWN * whole
