@@ -29,9 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basalt.functions import vectors
 from basalt.session import fresh_path, stage
 
 MISSES = 2
+#: the cosine at which two misspellings may be told apart from two changes
+CLOSE = 0.95
 BUCKETS = 64
 #: the name words are broadcast up to this many and joined by shuffle beyond
 BROADCAST_WORDS = 200_000
@@ -163,14 +166,6 @@ def _near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
-def _cosine(u: list[float] | None, v: list[float] | None) -> float:
-    if not u or not v:
-        return 0.0
-    dot = sum(x * y for x, y in zip(u, v, strict=False))
-    nu, nv = sum(x * x for x in u), sum(y * y for y in v)
-    return dot / (nu * nv) ** 0.5 if nu and nv else 0.0
-
-
 def agree(n1: list[str], o1: list[str], n2: list[str], o2: list[str], cosine: float) -> bool:
     """Whether two name sets are the same but for misspellings."""
     s1, s2 = set(n1), set(n2)
@@ -178,7 +173,7 @@ def agree(n1: list[str], o1: list[str], n2: list[str], o2: list[str], cosine: fl
     missing = len(a) + len(b)
     if missing == 0:
         return True
-    if missing > (2 if cosine >= 0.95 else 1):
+    if missing > (2 if cosine >= CLOSE else 1):
         return False
     r1, r2 = set(o1) - set(o2), set(o2) - set(o1)
     return all(any(_near(w, x) for x in r2 | b) for w in a) and all(any(_near(w, x) for x in r1 | a) for w in b)
@@ -206,37 +201,49 @@ class HistoryIndex:
             ).select("group_id", "sig", "first", "x.*"),
             "classes",
         )
-        mine = self._postings(classes)
-        slim = ["group_id", "sig", "first", "names", "others", "emb", "emb_model", "token", "bucket"]
-        mine = mine.select(*slim)
-        if self.batches:
-            past = self.spark.read.parquet(self.path).select(*slim)
-            known = past.unionByName(mine)
-        else:
-            known = mine
+        slim = ["group_id", "sig", "first", "names", "others", "token", "bucket"]
+        mine = self._postings(classes).select(*slim)
+        known = self.spark.read.parquet(f"{self.path}/postings").select(*slim).unionByName(mine) if self.batches else mine
         p, h = mine.alias("p"), known.alias("h")
         length = F.abs(F.size("p.names") - F.size("h.names")) <= MISSES
         pairs = (
             p.join(h, (F.col("p.bucket") == F.col("h.bucket")) & (F.col("p.token") == F.col("h.token")) & (F.col("h.first") < F.col("p.first")) & length)
-            .where(F.col("p.group_id") == F.col("h.group_id"))
-            .select("p.group_id", "p.sig", F.col("h.first").alias("seen"), F.col("p.names").alias("n1"), F.col("p.others").alias("o1"), F.col("h.names").alias("n2"), F.col("h.others").alias("o2"), F.col("p.emb").alias("e1"), F.col("h.emb").alias("e2"), (F.col("p.emb_model") == F.col("h.emb_model")).alias("one"))
+            .where((F.col("p.group_id") == F.col("h.group_id")) & (F.col("p.sig") != F.col("h.sig")))
+            .select("p.group_id", "p.sig", F.col("h.first").alias("seen"), F.col("h.sig").alias("other"), F.col("p.names").alias("n1"), F.col("p.others").alias("o1"), F.col("h.names").alias("n2"), F.col("h.others").alias("o2"))
         )
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = []
-                for i, (n1, o1, n2, o2, e1, e2, one) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3, 10)), strict=True)):
-                    if n1 == n2 or agree(n1, o1, n2, o2, _cosine(e1, e2) if one else 0.0):
+                keep, sure = [], []
+                for i, four in enumerate(zip(*(b.column(j).to_pylist() for j in range(4, 8)), strict=True)):
+                    if agree(*four, 1.0):
                         keep.append(i)
-                yield b.select(["group_id", "sig", "seen"]).take(pa.array(keep, pa.int64()))
-
-        found = pairs.mapInArrow(verify, "group_id string, sig string, seen struct<at: bigint, id: string>").groupBy("group_id", "sig").agg(F.min("seen").alias("seen"))
+                        sure.append(agree(*four, 0.0))
+                t = b.select(["group_id", "sig", "seen", "other"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(sure, pa.bool_())], names=[*t.schema.names, "sure"])
+
+        near = stage(pairs.mapInArrow(verify, "group_id string, sig string, seen struct<at: bigint, id: string>, other string, sure boolean").distinct(), "near")
+        # only pairs with two misspellings ask for their vectors, so these are never in the postings
+        mine_v = classes.select("group_id", "sig", "emb", "emb_model")
+        all_v = self.spark.read.schema(mine_v.schema).parquet(f"{self.path}/vectors").unionByName(mine_v) if self.batches else mine_v
+        left = mine_v.select("group_id", "sig", F.col("emb").alias("e1"), F.col("emb_model").alias("m1"))
+        right = all_v.select("group_id", F.col("sig").alias("other"), F.col("emb").alias("e2"), F.col("emb_model").alias("m2")).dropDuplicates(["group_id", "other"])
+        asked = near.where("not sure").join(left, ["group_id", "sig"]).join(right, ["group_id", "other"]).where("m1 = m2")
+        close = asked.where(vectors.cosine(F.col("e1"), F.col("e2")) >= CLOSE)
+        agreed = near.where("sure").select("group_id", "sig", "seen").unionByName(close.select("group_id", "sig", "seen"))
+        # a class met in an earlier batch is known by its signature
+        if self.batches:
+            before = self.spark.read.parquet(f"{self.path}/classes").select("group_id", "sig", F.col("first").alias("seen"))
+            agreed = agreed.unionByName(classes.select("group_id", "sig").join(before, ["group_id", "sig"]))
+        found = agreed.groupBy("group_id", "sig").agg(F.min("seen").alias("seen"))
         best = classes.select("group_id", "sig", "first").join(found, ["group_id", "sig"], "left").select("group_id", "sig", F.least("first", F.coalesce("seen", "first")).alias("seen"))
         out = marked.select("id", "at", "group_id", "sig").join(best, ["group_id", "sig"]).where(F.struct("at", "id") > F.col("seen")).select("id", F.col("seen.id").alias("earlier_id"))
         out = stage(out, "rejects")
         # what is appended is accepted: classes whose first fact repeats nothing
-        fresh = classes.join(found, ["group_id", "sig"], "left_anti")
-        self._postings(fresh).select(*slim).write.mode("append").partitionBy("bucket").parquet(self.path)
+        fresh = stage(classes.join(found, ["group_id", "sig"], "left_anti"), "fresh")
+        self._postings(fresh).select(*slim).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
+        fresh.select("group_id", "sig", "emb", "emb_model").write.mode("append").parquet(f"{self.path}/vectors")
+        fresh.select("group_id", "sig", "first").write.mode("append").parquet(f"{self.path}/classes")
         self.batches += 1
         return out
 
