@@ -141,7 +141,7 @@ field: mod* key '?'? (annot | typars? '(' params? ')' result?)? | ('get' | 'set'
 type: '|'? typeand ('|' typeand)* ('extends' type '?' type ':' type)? | 'abstract'? 'new'? typars? '(' params? ')' '=>' (name 'is' type | type) ;
 typeand: '&'? typeone ('&' typeone)* ;
 typeone: ('keyof' | 'readonly' | 'unique' | 'infer')? typeatom (@SAMELINE '[' type? ']')* ;
-typeatom: (word ('.' word)*) ('<' type (',' type)* '>')? | STRING | '-'? NUMBER | template | shape | '[' (tuple (',' tuple)* ','?)? ']' | '(' type ')' | 'typeof' name ('.' word)* | 'import' '(' STRING ')' ('.' word)* ;
+typeatom: (word ('.' word)*) ('<' type (',' type)* '>')? | STRING | '-'? NUMBER | template | shape | '[' (tuple (',' tuple)* ','?)? ']' | '(' type ')' | 'typeof'? 'import' '(' STRING ')' ('.' word)* | 'typeof' name ('.' word)* ;
 tuple: '...'? (name '?'? ':')? type '?'? ;
 """
 

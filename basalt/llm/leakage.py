@@ -42,7 +42,7 @@ LEAST = 12
 SLICE = 1 << 15
 RARE = 4
 PART = 0.45
-OWN_WORDS = 4
+OWN_WORDS, LEAST_WEIGHT = 4, 1.5
 SHARED = 3
 MOST_ITEM_WORDS = 2_000_000
 
@@ -422,4 +422,4 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
 
 def leaked(count: int, own: int, total: float, whole: float, span: int) -> bool:
     """The answer check: enough words, dense in the item's span, and the item's own words among them."""
-    return count >= LEAST and span >= 8 and count >= DENSE * span and own >= OWN_WORDS and total >= OWN * whole
+    return count >= LEAST and span >= 8 and count >= DENSE * span and own >= OWN_WORDS and total >= max(LEAST_WEIGHT, OWN * whole)

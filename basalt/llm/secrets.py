@@ -303,6 +303,10 @@ def _scan(text: str, low: int, high: int, config: bool, found: set[tuple[int, in
         for kind in kinds:
             if kind == "shape":
                 m = SHAPES[anchor].match(text, at, high)
+                if not m and at > low and text[at - 1] in "\"'`":
+                    lit = _literal(text, at - 1, high)
+                    if lit and len(lit[1]) > 1 and SHAPES[anchor].fullmatch(lit[0]) and not PLAIN.search(lit[0]):
+                        found.update(lit[1])
                 if m and not (at > low and re.match(r"[A-Za-z0-9]", text[at - 1])) and len(set(m.group(0))) >= 10 and not PLAIN.search(m.group(0)):
                     span = m.span()
                     if anchor in ("akia", "asia"):

@@ -26,6 +26,8 @@ TABLE = "NAMES = {\n" + "".join(f'    "{w}": "{w} kept in order",\n' for w in ("
         ("a/b.py", "# Licence check for our own files, (c) headers are added on release.\n" + CODE, ""),
         ("a/b.py", NUMBERS, "data"),
         ("a/b.py", BLOB, "data"),
+        ("a/b.py", "\ufffdPNG\r\n\x1a\n\0\ufffd\ufffd", "data"),
+        ("a/b.js", "<!DOCTYPE html>\n<html><body>page</body></html>\n", ""),
         ("a/b.py", TABLE, ""),
         ("a/b.js", MIN, "minified"),
         ("a/b.yaml", "x: 1\n", ""),
@@ -40,7 +42,7 @@ def test_verdict(path, text, want):
 def test_tables(spark):
     rows = [("v/a.py", CODE.encode()), ("v/a.py", CODE.encode()), ("v/b.py", None), (None, b"x"), ("v/c.js", MIN.encode()), ("v/d.py", b"\xff\xfe\x00"), ("vendor/e.py", None)]
     df = spark.createDataFrame(rows, "path string, content binary").selectExpr("*", "'x' as verdict")
-    assert {r.path for r in layout.not_handwritten(df).collect()} == {"v/c.js", "vendor/e.py"}
+    assert {r.path for r in layout.not_handwritten(df).collect()} == {"v/c.js", "v/d.py", "vendor/e.py"}
     assert layout.classify(df).count() == 5
     assert layout.classify(df.where("false")).count() == 0
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from basalt.llm import leakage
 
 R = random.Random(11)
-NOUNS = [a + b for a in ("am", "bor", "cel", "dru", "fen", "gal", "hum", "jor", "kel", "lum") for b in ("ber", "dan", "fix", "gon", "hap", "kit", "lor", "mus")]
+NOUNS = [a + b for a in "am bor cel dru fen gal hum jor kel lum mar nes ost pir".split() for b in "ber dan fix gon hap kit lor mus nad pex rov sil".split()]
 ASK = "Answer the question about the repository below. Use only what the excerpt says. "
 
 
