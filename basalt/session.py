@@ -31,6 +31,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "8g"
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    return ready(spark)
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package where they see the same files, wherever the driver was
+    started; a cluster whose machines do not is given the package by ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, known)))
     return spark
 
 
@@ -40,6 +51,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only where that setting is missing and the master is local (tests, one machine) a temporary
     folder is made; on a cluster a missing setting is an error.
     """
+    ready(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -68,4 +80,4 @@ def path_of(sf_dir: str, table: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(path_of(sf_dir, name))
+    return ready(spark).read.parquet(path_of(sf_dir, name))
