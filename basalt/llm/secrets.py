@@ -131,7 +131,7 @@ def _credential_name(name: str) -> bool:
 
 
 def _path_like(v: str) -> bool:
-    return v.startswith(("/", "./", "~/", "../")) or bool(re.fullmatch(r"[a-z_\-]+(/[a-z0-9_\-.]+)+", v))
+    return bool(re.fullmatch(r"(?:~|\.{0,2})(?:/[a-z0-9_.\-]+)+/?|[a-z_\-]+(?:/[a-z0-9_\-.]+)+", v))
 
 
 def _usable(v: str, quoted: bool = True) -> bool:
