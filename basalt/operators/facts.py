@@ -50,3 +50,12 @@ def extend(facts: DataFrame, chosen: DataFrame, days: int) -> DataFrame:
         F.when(moved, F.col("created_at") + ms).otherwise(F.col("created_at")).alias("created_at"),
         F.when(moved & F.col("invalid_at").isNotNull(), F.col("invalid_at") + ms).otherwise(F.col("invalid_at")).alias("invalid_at"),
     )
+
+
+def retained(facts: DataFrame, now: int, days: int = 30, grace: int = 30) -> DataFrame:
+    """Facts that a retention run keeps: immune ones, and those created or read within ``days``, or
+    created within ``days + grace``. An extension: the documents of the studied service promise it,
+    its code does not do it."""
+    read = F.coalesce("last_accessed_at", "created_at")
+    fresh = (read >= now - days * schema.DAY_MS) | (F.col("created_at") >= now - (days + grace) * schema.DAY_MS)
+    return facts.where(F.coalesce("immune", F.lit(False)) | fresh | F.col("created_at").isNull())

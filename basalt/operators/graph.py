@@ -89,6 +89,11 @@ def purge(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select(F.col("id").alias("src_id")).distinct(), "src_id", "left_anti").select(*edges.columns)
 
 
+def rebuild(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The edges after ``changed.id`` were read again: their old outgoing edges go, the fresh ones come."""
+    return purge(edges, changed).unionByName(fresh.select(*edges.columns)).distinct()
+
+
 def status(files: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
     """``what, n``: files, call edges and import edges."""
     out = None

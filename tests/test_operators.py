@@ -180,3 +180,26 @@ def test_replace_keeps_rows(spark, tmp_path):
     tables.replace(spark.read.parquet(p).withColumn("x", F.col("x") + 1), p)
     assert [tuple(r) for r in spark.read.parquet(p).select("group_id", "x").collect()] == [("g", 2)]
     assert tables.embedding_models(spark, 5).count() == 2
+
+
+def test_rebuild_and_purge(spark):
+    ddl = "group_id string, src_id string, dst_id string"
+    e = spark.createDataFrame([("g", "a", "b"), ("g", "b", "c")], ddl)
+    changed = spark.createDataFrame([("a",)], "id string")
+    assert edges_of(graph.rebuild(e, changed, spark.createDataFrame([("g", "a", "c")], ddl))) == {("a", "c"), ("b", "c")}
+    assert edges_of(graph.rebuild(e, changed, e.where("false"))) == {("b", "c")}
+
+
+def test_encode(spark):
+    from basalt.operators import embed
+
+    df = spark.createDataFrame([("ab",), (None,), ("",)], "t string")
+    sizes = lambda: lambda texts: [[len(x), 1.0] for x in texts]
+    assert [r.emb for r in embed.encode(df, "t", sizes, batch=1).collect()] == [[2.0, 1.0], None, [0.0, 1.0]]
+
+
+def test_retention(spark):
+    day = 86_400_000
+    rows = [("new", 95 * day, None, False), ("read", 1 * day, 90 * day, False), ("old", 1 * day, 2 * day, False), ("kept", 1 * day, None, True)]
+    df = spark.createDataFrame(rows, "id string, created_at bigint, last_accessed_at bigint, immune boolean")
+    assert {r.id for r in facts.retained(df, 100 * day).collect()} == {"new", "read", "kept"}
