@@ -57,7 +57,7 @@ def _fused(k: int) -> str:
 
 
 INCOMING = f"i AS (SELECT id, path, sha256(array_to_string(list_filter(string_split(content, chr(10)), lambda l: NOT regexp_matches(l, '{SEPARATOR}')), chr(10))) AS new_hash FROM c)"
-EXISTING = "x AS (SELECT * FROM c WHERE created_at <= (SELECT quantile_disc(created_at, 0.5) FROM c))"
+EXISTING = "x AS (SELECT * FROM c WHERE created_at <= (SELECT (min(created_at) + max(created_at)) // 2 FROM c))"
 UPSERT = (
     "u AS (SELECT coalesce(x.id, i.id) AS id, coalesce(new_hash, content_hash) AS content_hash, CASE WHEN new_hash IS NULL THEN valid ELSE true END AS valid, "
     f"coalesce(created_at, {NOW})::BIGINT AS created_at, CASE WHEN x.id IS NULL OR (new_hash IS NOT NULL AND new_hash IS DISTINCT FROM content_hash) THEN {NOW} ELSE updated_at END::BIGINT AS updated_at, "

@@ -283,7 +283,8 @@ def _incoming(spark, d):
 
 def _existing(spark, d):
     c = chunks(spark, d)
-    return c.join(F.broadcast(c.agg(F.percentile_disc("created_at", 0.5).alias("cut")) if hasattr(F, "percentile_disc") else c.agg(F.expr("percentile_disc(0.5) within group (order by created_at)").alias("cut")))).where("created_at <= cut").drop("cut")
+    middle = c.agg(F.expr("(min(created_at) + max(created_at)) div 2").alias("cut"))
+    return c.crossJoin(F.broadcast(middle)).where("created_at <= cut").drop("cut")
 
 
 def upsert_chunks(spark, d):
