@@ -117,10 +117,10 @@ def paths_for(path: str, root: str, raw: str, relative: bool) -> list[str]:
     elif rule == "c":
         found = [f"{here}/{raw}", f"{root}/{raw}"]
     elif rule == "rs":
-        inner = re.sub(r"^(crate|super|self)::", "", raw).replace("::", "/")
+        inner = re.sub(r"^super::", "../", re.sub(r"^(crate|self)::", "", raw)).replace("::", "/")
         found = [f"{root}/src/{inner}.rs", f"{root}/src/{inner}/mod.rs"]
     elif rule == "rb":
-        found = [f"{here if relative else root + '/lib'}/{raw}.rb", f"{here if relative else root + '/lib'}/{raw}"]
+        found = [f"{here if relative else root + '/lib'}/{raw.removesuffix('.rb')}.rb"]
     elif rule in ("sh", "php"):
         found = [f"{here}/{raw}"]
     else:

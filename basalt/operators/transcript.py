@@ -31,7 +31,7 @@ def turn_tail(t: DataFrame, n: int = TURNS, chars: int = TURN_CHARS) -> DataFram
     """``conv_id, text``: the last ``n`` qualifying turns in their order, each cut to ``chars``."""
     w = W.partitionBy("conv_id").orderBy(F.desc("turn"))
     last = qualifying(t).withColumn("n", F.row_number().over(w)).where(F.col("n") <= n)
-    line = F.concat(F.col("role"), F.lit(": "), text.cut(text.strip(F.col("text")), chars))
+    line = F.concat(F.lit("["), F.col("role"), F.lit("]: "), text.cut(text.strip(F.col("text")), chars))
     parts = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
     return last.groupBy("conv_id").agg(F.array_join(parts["line"], "\n\n").alias("text"))
 
@@ -43,6 +43,14 @@ def log_tail(logs: DataFrame, key: str = "doc_id", n: int = LOG_LINES, valid: st
     return rows.select("log_id", F.array_join(F.filter(last, lambda x: x.rlike(valid)), "\n").alias("text"))
 
 
+def log_section(log: DataFrame, n: int = LOG_LINES, order: str = "ts") -> DataFrame:
+    """``text``: the heading and ``tool  path`` of a session log's last ``n`` entries; no row without any.
+    The log of one session is a bounded file, its entries come with ``sources.files.session_log``."""
+    last = log.orderBy(F.desc(order), F.desc("path")).limit(n)
+    parts = F.array_sort(F.collect_list(F.struct(order, F.concat(F.lit("  "), F.col("tool"), F.lit("  "), F.col("path")).alias("line"))))
+    return last.agg(parts.alias("p")).where(F.size("p") > 0).select(F.concat(F.lit("Files modified this session:\n"), F.array_join("p.line", "\n")).alias("text"))
+
+
 def delta(log: DataFrame, tail: DataFrame, chars: int = DELTA_CHARS) -> DataFrame:
     """``conv_id, text``: a log's tail and a conversation's, parted by a rule, the last ``chars`` of both;
     empty ones are left out."""

@@ -72,7 +72,7 @@ def _turns(n: int, chars: int) -> str:
         f"w AS (SELECT *, lower(regexp_extract(raw, '{mark}', 1)) AS said FROM p), "
         f"t AS (SELECT conv_id, turn, CASE said WHEN 'agent' THEN 'assistant' WHEN '' THEN NULL ELSE said END AS role, trim(CASE WHEN said <> '' THEN regexp_replace(raw, '{mark}', '') ELSE raw END, {BLANKS}) AS body FROM w), "
         "l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM t WHERE role IS NOT NULL AND body <> ''), "
-        f"tail AS (SELECT conv_id, string_agg(role || ': ' || substr(body, 1, {chars}), chr(10) || chr(10) ORDER BY turn) AS text FROM l WHERE n <= {n} GROUP BY conv_id)"
+        f"tail AS (SELECT conv_id, string_agg('[' || role || ']: ' || substr(body, 1, {chars}), chr(10) || chr(10) ORDER BY turn) AS text FROM l WHERE n <= {n} GROUP BY conv_id)"
     )
 
 

@@ -11,12 +11,17 @@ from basalt import schema
 from basalt.functions import paths, text
 
 # Folders that are never read, suffixes that are never source, extensions with a parser.
-SKIP_FOLDERS = ("node_modules", ".git", "dist", "build", "__pycache__", ".venv", "venv", "target", ".next", "vendor", "coverage", ".cache")
+SKIP_FOLDERS = ("node_modules", ".git", "__pycache__", ".venv", "venv", "dist", "build", ".next", ".nuxt", "target", "vendor", ".mypy_cache")
 SKIP_SUFFIXES = (
-    ".lock", ".sum", ".min.js", ".min.css", ".map", ".svg", ".png", ".jpg", ".jpeg", ".gif", ".ico", ".pdf", ".zip", ".gz", ".tar", ".woff", ".woff2", ".ttf", ".eot", ".mp4", ".mp3", ".exe", ".dll", ".so",
+    ".lock", ".sum", ".mod", ".min.js", ".min.css",
+    ".png", ".jpg", ".jpeg", ".gif", ".svg", ".ico",
+    ".woff", ".woff2", ".ttf", ".eot",
+    ".pdf", ".zip", ".tar", ".gz",
+    ".pyc", ".pyo", ".so", ".dylib", ".dll",
 )
 PARSED = (
-    "py", "js", "jsx", "mjs", "cjs", "ts", "tsx", "mts", "go", "rs", "java", "c", "h", "cpp", "cc", "cxx", "hpp", "cs", "rb", "php", "kt", "kts", "swift", "scala", "sc", "sh", "bash", "lua",
+    "py", "js", "jsx", "mjs", "cjs", "ts", "mts", "tsx", "go", "rs", "java", "c", "h", "cpp", "cc", "cxx", "hpp", "hxx",
+    "cs", "rb", "php", "kt", "kts", "swift", "scala", "sc", "sh", "bash", "lua",
 )
 
 

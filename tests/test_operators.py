@@ -148,7 +148,14 @@ def test_fact_changes(spark):
 def test_transcript_tail(spark):
     rows = [(1, i, "user" if i % 2 else "tool", f"t{i}") for i in range(24)] + [(1, 30, "user", "  ")]
     t = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
-    assert transcript.turn_tail(t, n=8).collect()[0]["text"] == "\n\n".join(f"user: t{i}" for i in range(9, 24, 2))
+    assert transcript.turn_tail(t, n=8).collect()[0]["text"] == "\n\n".join(f"[user]: t{i}" for i in range(9, 24, 2))
+
+
+def test_log_section(spark):
+    log = spark.createDataFrame([("Edit", f"p{i}", i) for i in range(40)], "tool string, path string, ts bigint")
+    got = transcript.log_section(log).collect()[0]["text"].split("\n")
+    assert got[0] == "Files modified this session:" and got[1:] == [f"  Edit  p{i}" for i in range(10, 40)]
+    assert transcript.log_section(log.where("false")).count() == 0
 
 
 def test_files_and_stream(spark, tmp_path):
