@@ -1,7 +1,7 @@
 """Grammars of the supported languages, written for ``gll.Grammar``.
 
 Precedence is left out, as only acceptance counts: an operand list with operators between is one rule.
-Where a language has dialects, each has a start rule and they run together.
+A grammar may have several start rules, which a parse runs together.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ json: value EOF ;
 value: STRING | NUMBER | 'true' | 'false' | 'null' | '{' (STRING ':' value (',' STRING ':' value)*)? '}' | '[' (value (',' value)*)? ']' ;
 """
 
-# ECMAScript: the start rules ``module`` and ``typed`` are the two dialects; ``typed`` lets the rules of TypeScript in.
+# ECMAScript modules; the predicate ``@TS`` lets the rules of TypeScript in, for files of its suffixes.
 SCRIPT = r"""
 module: item* EOF ;
 item: import | export | stmt ;

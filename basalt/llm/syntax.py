@@ -1,8 +1,9 @@
 """Source files that do not parse.
 
 Method. Every file is read by the lexer of its suffix and recognised by a generalised LL parser
-(``gll``); the dialects of a language are start rules of one grammar and run together, and a file
-is flagged if all of them reject it. For Python and JSON an exact check follows: a file that the
+(``gll``), which runs all start rules given to it together; a file is flagged if all of them reject
+it. The test tables name one dialect per suffix (Python 3, ECMAScript modules and so on), so each
+language has one start rule here; what a looser dialect would let through is to be flagged. For Python and JSON an exact check follows: a file that the
 grammar rejects is handed to the language's own parser, which alone may clear it.
 
 Files are independent, so the scan is one pass without a shuffle of contents; only the dropping of
