@@ -4,9 +4,12 @@ Method. Latent semantic retrieval. Every text becomes the numbers of its words i
 evaluation items (-1 for any other word), written once. Passages of ``SPAN`` words of all documents
 give the TF-IDF matrix A; a distributed randomised SVD sketches Y = A'(A R) in one pass of partial sums,
 and the Nystroem form of A'A turns Y into the leading right singular vectors. Overlapping windows of
-documents are projected by differences of running sums, compared with the projected item passages by
-cosine, and candidates go to a chain of common words in order (longest common subsequence with
-bounded gaps and one interruption), weighted so that a skeleton of frequent words does not count.
+documents are projected by differences of running sums and compared with the projected item passages by
+cosine. A window of a passage that is interrupted holds too few of its words for that, so a document
+that holds an item's own three-word run is a candidate as well: fifteen words less three that changed,
+cut once, leave twelve in at most five runs, one of which has three words. Candidates go to a chain of
+common words in order (longest common subsequence with bounded gaps and one interruption of any
+length), weighted so that a skeleton of frequent words does not count.
 
 Shared instructions are found, not listed: five-word runs that open several items are taken out.
 
@@ -125,6 +128,16 @@ class Items:
         told = {x for (_, w), own in zip(self.sequences, self.own, strict=True) for x, o in zip(w, own, strict=True) if o}
         self.rare = np.array([w in told for w in self.vocabulary], bool)
         self.coded = [(i, np.array([self.vocabulary[x] for x in w], np.int32)) for i, w in self.sequences]
+        runs = [
+            (t, self.coded[t][1][k : k + 3])
+            for t, (_, w) in enumerate(self.sequences)
+            for k in range(len(w) - 2)
+            if len(owners[tuple(w[k : k + 3])]) < SHARED
+        ]
+        code = run_codes(np.array([g for _, g in runs], np.int64).reshape(-1, 3), len(self.vocabulary))
+        order = np.argsort(code, kind="stable")
+        # the items' own three-word runs, sorted, and the sequence of each
+        self.runs = code[order], np.array([t for t, _ in runs], np.int32)[order]
 
     def passages(self) -> list[tuple[int, int, int]]:
         """(sequence, from, to): windows of ``SPAN`` words, half overlapping."""
@@ -137,6 +150,25 @@ class Items:
         return out
 
 
+def run_codes(three: np.ndarray, n: int) -> np.ndarray:
+    """One number for each row of three word numbers below ``n``; ``MOST_ITEM_WORDS`` cubed fits 64 bits."""
+    return (three[:, 0] * n + three[:, 1]) * n + three[:, 2]
+
+
+def own_runs(w: np.ndarray, off: np.ndarray, runs: tuple[np.ndarray, np.ndarray], n: int) -> Iterator[tuple[int, int, int]]:
+    """(text, sequence, place in the text): where the texts of a batch hold a sequence's own run."""
+    code, owner = runs
+    text = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    known = w >= 0
+    at = np.flatnonzero(known[:-2] & known[1:-1] & known[2:] & (text[:-2] == text[2:]))
+    got = run_codes(w[at[:, None] + np.arange(3)].astype(np.int64), n)
+    a, z = np.searchsorted(code, got, "left"), np.searchsorted(code, got, "right")
+    for k in np.flatnonzero(z > a).tolist():
+        d = int(text[at[k]])
+        for t in owner[a[k] : z[k]].tolist():
+            yield d, t, int(at[k] - off[d])
+
+
 def coded_documents(docs: DataFrame, vocabulary: dict[str, int], key: str, text: str) -> DataFrame:
     """``key, w``: word numbers of every text that is not blank."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -239,46 +271,56 @@ def singular_vectors(coded: DataFrame, idf: np.ndarray, rank: int = RANK, over:
     return u[:, :rank].astype(np.float32)
 
 
-def chain(doc: list[int], item: list[int], places: dict[int, list[tuple[int, int]]], telling: list[float]) -> tuple[int, int, float, float, int]:
+def chain(doc: list[int], spots: list[int], item: list[int], places: dict[int, list[tuple[int, int]]], telling: list[float]) -> tuple[int, int, float, float, int]:
     """The best chain of the item's own words that document and item have in order.
 
-    ``places``: for each own word its positions in the item, with their rank among its own words.
+    ``spots``: the places of the item's own words in the document, rising; ``places``: for each own word
+    its positions in the item, with their rank among its own words.
     Neighbours in a chain lie within ``GAP`` words of the document more than of the item, but for one
-    interruption of at most ``INTERRUPTED``. Returns the common words in order over the chain's spans,
+    interruption, however long. Returns the common words in order over the chain's spans,
     of all words; the number of own words in the chain, their weight, the weight of all own words in the
     item's span; and that span's length.
     """
-    pairs = [(p, q, r, telling[w]) for p, w in enumerate(doc) if w in places for q, r in places[w]]
+    pairs = [(p, q, r, telling[doc[p]]) for p in spots for q, r in places[doc[p]]]
     n = len(pairs)
-    if n < OWN_WORDS:
+    # no chain weighs more than all its words
+    if n < OWN_WORDS or sum(telling[doc[p]] for p in spots) < LEAST_WEIGHT:
         return 0, 0, 0.0, 1.0, 0
-    score = [[0.0, -1.0] for _ in range(n)]  # without and with the interruption
-    back: list[list[tuple[int, int] | None]] = [[None, None] for _ in range(n)]
-    low = 0
-    for k in range(n):
-        p, q, r, w = pairs[k]
+    plain, cut = [0.0] * n, [-1.0] * n  # without and with the interruption
+    back: list[tuple[tuple[int, int] | None, tuple[int, int] | None]] = [(None, None)] * n
+    near: dict[int, list[int]] = {}  # by rank: what lies before
+    ended: dict[int, int] = {}  # by rank: the best of those without an interruption
+    before = 0
+    for k, (p, q, r, w) in enumerate(pairs):
+        while pairs[before][0] < p:
+            rb = pairs[before][2]
+            near.setdefault(rb, []).append(before)
+            if rb not in ended or plain[before] > plain[ended[rb]]:
+                ended[rb] = before
+            before += 1
         b0, b1, f0, f1 = w, -1.0, None, None
-        while pairs[low][0] < p - INTERRUPTED:
-            low += 1
-        for j in range(k - 1, low - 1, -1):
-            pj, qj, rj, _ = pairs[j]
-            dr = r - rj
-            if dr < 1 or dr > 5 or pj == p or q - qj > 2 * GAP:
+        for dr in (1, 2, 3, 4, 5):
+            js = near.get(r - dr)
+            if js is None:
                 continue
-            lost = 0.25 * (dr - 1)
-            if p - pj <= GAP + q - qj:
-                s0, s1 = score[j]
-                if s0 - lost + w > b0:
-                    b0, f0 = s0 - lost + w, (j, 0)
-                if s1 >= 0 and s1 - lost + w > b1:
-                    b1, f1 = s1 - lost + w, (j, 1)
-            elif dr <= 2:
-                x = score[j][0] - lost - 0.4 + w
-                if x > b1:
-                    b1, f1 = x, (j, 0)
-        score[k] = [b0, b1]
-        back[k] = [f0, f1]
-    k, c = max(((k, c) for k in range(n) for c in (0, 1)), key=lambda x: score[x[0]][x[1]])
+            over = q - pairs[js[0]][1]
+            if over > 2 * GAP:
+                break
+            gain = w - 0.25 * (dr - 1)
+            for j in reversed(js):
+                if p - pairs[j][0] > GAP + over:
+                    break
+                if plain[j] + gain > b0:
+                    b0, f0 = plain[j] + gain, (j, 0)
+                if cut[j] >= 0 and cut[j] + gain > b1:
+                    b1, f1 = cut[j] + gain, (j, 1)
+            if dr <= 2 and plain[ended[r - dr]] + gain - 0.4 > b1:
+                b1, f1 = plain[ended[r - dr]] + gain - 0.4, (ended[r - dr], 0)
+        plain[k], cut[k] = b0, b1
+        back[k] = f0, f1
+    k, c = plain.index(max(plain)), 0
+    if max(cut) > plain[k]:
+        k, c = cut.index(max(cut)), 1
     p1, q1, r1, _ = pairs[k]
     hits, total = 0, 0.0
     cuts = []
@@ -297,7 +339,7 @@ def chain(doc: list[int], item: list[int], places: dict[int, list[tuple[int, int
     a, z = max(0, q - 3), min(len(item), q1 + 4)
     lo, hi = max(0, p - 4), p1 + 5
     text = doc[lo:hi] if not cuts else doc[lo : cuts[0][0] + 4] + doc[max(cuts[0][1] - 3, cuts[0][0] + 4) : hi]
-    whole = sum(telling[x] for x, spots in places.items() for i, _ in spots if q <= i <= q1)
+    whole = sum(telling[x] for x, at in places.items() for i, _ in at if q <= i <= q1)
     return common(text, item[a:z]), hits, total, whole, q1 + 1 - q
 
 
@@ -316,7 +358,8 @@ def common(a: list[int], b: list[int]) -> int:
     return len(b) - v.bit_count()
 
 
-GAP, INTERRUPTED = 9, 120
+# AROUND: how far evidence is first read together; what has no passage there is read as a whole text
+GAP, AROUND = 9, 120
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", cosine: float = COSINE) -> DataFrame:
@@ -349,10 +392,10 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     needs = np.array(own)[use]
     # a window that holds a passage holds most of its weight, so lighter windows are not projected
     least_mass = 0.5 * float(np.min(np.array(mass)[use])) if use.any() else 0.0
-    shared = spark.sparkContext.broadcast((latent, idf, p, seq, needs, side.coded, least_mass, side.own, side.rare, side.telling.tolist()))
+    shared = spark.sparkContext.broadcast((latent, idf, p, seq, needs, side.coded, least_mass, side.own, side.rare, side.telling.tolist(), side.runs))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lat, w_idf, pas, owner, needs, seqs, least, owned, is_rare, telling = shared.value
+        lat, w_idf, pas, owner, needs, seqs, least, owned, is_rare, telling, runs = shared.value
         weight = np.append(w_idf, 0).astype(np.float32)
         where: dict[int, dict[int, list[tuple[int, int]]]] = {}
         items_as_lists = [c.tolist() for _, c in seqs]
@@ -364,6 +407,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
             keys = b.column(0).to_pylist()
             found: dict[tuple[int, int], int] = {}
             if len(w):
+                for d, t, place in own_runs(w, off, runs, len(w_idf)):
+                    found[d, t] = found.get((d, t), 0) | 1 << place // STEP
                 run = np.concatenate([[0], np.cumsum(weight[w], dtype=np.float64)])
                 rares = np.concatenate([[0], np.cumsum(np.append(is_rare, False)[w])])
                 sizes = np.diff(off)
@@ -402,19 +447,24 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     where[s] = m
                 item_words = items_as_lists[s]
                 hits = [i for i in range(bits.bit_length()) if bits >> i & 1]
-                a = 0
+                size = int(off[d + 1] - off[d])
+                parts, a = [], 0
                 while a < len(hits):
                     z = a
-                    while z + 1 < len(hits) and (hits[z + 1] - hits[z]) * STEP <= INTERRUPTED + SPAN:
+                    while z + 1 < len(hits) and (hits[z + 1] - hits[z]) * STEP <= AROUND + SPAN:
                         z += 1
-                    lo, hi = max(0, hits[a] * STEP - INTERRUPTED - SPAN), hits[z] * STEP + 2 * SPAN + INTERRUPTED
-                    got = chain(w[off[d] + lo : min(off[d] + hi, off[d + 1])].tolist(), item_words, where[s], telling)
+                    parts.append((max(0, hits[a] * STEP - AROUND - SPAN), min(size, hits[z] * STEP + 2 * SPAN + AROUND)))
+                    a = z + 1
+                if parts[0] != (0, size):
+                    parts.append((0, size))
+                for lo, hi in parts:
+                    part = w[off[d] + lo : off[d] + hi]
+                    got = chain(part.tolist(), np.flatnonzero(mine[s][part]).tolist(), item_words, where[s], telling)
                     if leaked(*got):
                         out_k.append(keys[d])
                         out_i.append(seqs[s][0])
                         out_n.append(got[0])
                         break
-                    a = z + 1
             yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out_i, pa.int64()), pa.array(out_n, pa.int32())], names=[key, item, "words"])
 
     return coded.mapInArrow(look, out_ddl).groupBy(key, item).agg(F.max("words").alias("words"))

@@ -56,6 +56,22 @@ def test_leaks(spark):
     assert got == {(1, 2), (2, 4), (3, 3), (4, 6), (5, 7)}
 
 
+def test_short_passage_interrupted_once(spark):
+    mid, pad = " ".join(NOISE[:2]), " ".join(NOISE * 6).split()
+    gaps, extra = (0, 15, 40, 150, 400), []
+    for n, gap in enumerate(gaps):
+        for i in range(12):
+            w = ITEMS[i][1].removeprefix(ASK).split()[3:18]
+            extra.append((100 * n + i, " ".join([mid, *w[:8], *(pad * 3)[:gap], *w[8:], mid])))
+    half = ITEMS[13][1].removeprefix(ASK).split()[3:11]
+    extra.append((900, " ".join([mid, *half, *pad[:40], *half, mid])))
+    got = {(r.doc_id, r.item_id) for r in leakage.leaks(docs(spark, extra), items(spark)).collect()}
+    # one of the passages is mostly words that other items share, so it is none in one piece either
+    whole = {i for d, i in got if d < 100}
+    assert len(whole) >= 11
+    assert got == {(100 * n + i, i) for n in range(len(gaps)) for i in whole}
+
+
 def test_empty_sides(spark):
     none = items(spark).where("false")
     assert leakage.leaks(docs(spark, []), none).count() == 0
