@@ -4,8 +4,9 @@ Method. One deterministic automaton (Aho-Corasick over the lower-cased text) hol
 prefixes of issued token formats, key armor, ``://`` of connection strings, credential stems of
 names, and authentication schemes. Each accepting state names the grammar to run at that place; a
 grammar yields absolute character spans of the secret's own text. A text longer than ``WINDOW`` is
-scanned in windows that overlap by ``OVERLAP``; spans are absolute, so what two windows (or two
-grammars) find is one span. Masking splices ``MASK`` over the spans and leaves every other character.
+scanned for anchors in windows that overlap by ``OVERLAP``; a grammar reads its value to the end, however
+long, and spans are absolute, so what two windows (or two grammars) find is one span. Masking splices
+``MASK`` over the spans and leaves every other character.
 
 Defined results: NULL content gives no spans and stays NULL; empty text gives none; repeated rows
 give the same spans (``find_lines`` returns each id and line once); other columns pass through.
@@ -134,9 +135,14 @@ def _path_like(v: str) -> bool:
     return bool(re.fullmatch(r"(?:~|\.{0,2})(?:/[a-z0-9_.\-]+)+/?|[a-z_\-]+(?:/[a-z0-9_\-.]+)+", v))
 
 
+def _key_like(v: str) -> bool:
+    """A long run of mixed letters and digits: a placeholder's word in it is there by chance."""
+    return len(v) > 256 and bool(re.fullmatch(r"[A-Za-z0-9+/_\-]+=*", v)) and len(set(v)) >= 48
+
+
 def _usable(v: str, quoted: bool = True) -> bool:
     """Whether a value under a credential's name could be used as it stands."""
-    if len(v) < 6 or len(v) > 4096 or re.search(r"\s", v) or PLAIN.search(v) or _path_like(v):
+    if len(v) < 6 or re.search(r"\s", v) or PLAIN.search(v) and not _key_like(v) or _path_like(v):
         return False
     core = re.sub(r"[^A-Za-z0-9]", "", v)
     if len(set(core)) < 4 or not re.search(r"[A-Za-z]", v) and len(core) < 6:
@@ -173,12 +179,19 @@ def _literal(text: str, at: int, end: int) -> tuple[str, list[tuple[int, int]],
 
 
 def _decoded(v: str) -> str:
+    bare = re.sub(r"\s|\\[nr]", "", v)  # decoders skip line breaks
     try:
-        return base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode("ascii")
+        return base64.b64decode(bare + "=" * (-len(bare) % 4), validate=True).decode("ascii")
     except (ValueError, binascii.Error):
         return v
 
 
+def _key_text(body: str) -> bool:
+    """Whether what stands between the armor lines can be a key and is no placeholder."""
+    plain = re.sub(r"\\[nr]", "", body)
+    return len(re.sub(r"[^A-Za-z0-9+/=]", "", plain)) >= 24 and not re.search(r"(?i)\.\.\.|<|redacted|placeholder|your|x{12}|\$\{", plain)
+
+
 def _in_comment_or_string(text: str, at: int) -> bool:
     start = text.rfind("\n", 0, at) + 1
     head = text[start:at]
@@ -220,8 +233,13 @@ def _name(text: str, at: int, end: int, low: int, high: int, config: bool) -> It
         value, spans, _ = found
         if "\n" in text[b:at] and not w and text[at - 1 : at] not in "(\n \t":
             return
-        if _usable(_decoded(value) if coded else value):
-            if not ARMOR.search(value) and not DSN.search(value):
+        clear = _decoded(value) if coded else value
+        if coded and (key := ARMOR.search(clear)):
+            if _key_text(clear[key.end() :].partition("-----END ")[0]):
+                yield from spans
+            return
+        if _usable(clear):
+            if not ARMOR.search(value) and not ("://" in value and DSN.search(value)):
                 yield from spans
             return
         if inner := SCHEME.match(value):
@@ -294,6 +312,8 @@ def spans_of(text: str, config: bool = False) -> list[tuple[int, int]]:
 
 def _scan(text: str, low: int, high: int, config: bool, found: set[tuple[int, int]]) -> None:
     piece = text[low:high] if (low, high) != (0, len(text)) else text
+    # an anchor lies within the window, its value may go beyond; a line is read to the end of the value at the edge
+    edge = re.compile(r"\s|$").search(text, high).start()
     lowered = piece.lower()
     if len(lowered) != len(piece):  # a few letters grow when lowered; offsets must not move
         lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in piece)
@@ -302,61 +322,60 @@ def _scan(text: str, low: int, high: int, config: bool, found: set[tuple[int, in
         at = low + stop - len(anchor) + 1
         for kind in kinds:
             if kind == "shape":
-                m = SHAPES[anchor].match(text, at, high)
+                m = SHAPES[anchor].match(text, at)
                 if not m and at > low and text[at - 1] in "\"'`":
-                    lit = _literal(text, at - 1, high)
+                    lit = _literal(text, at - 1, len(text))
                     if lit and len(lit[1]) > 1 and SHAPES[anchor].fullmatch(lit[0]) and not PLAIN.search(lit[0]):
                         found.update(lit[1])
                 if m and not (at > low and re.match(r"[A-Za-z0-9]", text[at - 1])) and len(set(m.group(0))) >= 10 and not PLAIN.search(m.group(0)):
                     span = m.span()
                     if anchor in ("akia", "asia"):
                         found.add(span)
-                        pair = re.compile(r"""["']?\s*[,;:/]\s*["']?([A-Za-z0-9/+=]{40})(?![A-Za-z0-9/+=])""").match(text, m.end(), high)
+                        pair = re.compile(r"""["']?\s*[,;:/]\s*["']?([A-Za-z0-9/+=]{40})(?![A-Za-z0-9/+=])""").match(text, m.end())
                         if pair:
                             found.add(pair.span(1))
                     else:
-                        lit = _around(text, span, low, high)
+                        lit = _around(text, span, low, len(text))
                         found.update(lit or [span])
             elif kind == "name":
                 if at <= named:
                     continue
                 named = at
-                found.update(_name(text, at, at + len(anchor), low, high, config))
+                found.update(_name(text, at, at + len(anchor), low, len(text), config))
             elif kind == "dsn":
                 start = at
                 while start > low and re.match(r"[A-Za-z0-9+.\-]", text[start - 1]):
                     start -= 1
-                m = DSN.match(text, start, high)
+                m = DSN.match(text, start)
                 if m and len(m.group(2)) >= 4 and not PLAIN.search(m.group(2)) and len(set(m.group(2))) > 2 and m.group(2).lower() not in ("password", "pass", "secret", "pwd", "passwd"):
                     found.add(m.span(2))
             elif kind == "armor":
-                m = ARMOR.match(text, at, high)
+                m = ARMOR.match(text, at)
                 if m:
                     stop_at = re.compile(r"-----END [A-Z0-9 ]*-----").search(text, m.end())
                     body = text[m.end() : stop_at.start() if stop_at else min(len(text), m.end() + 8192)]
-                    plain = re.sub(r"\\[nr]", "", body)
-                    if len(re.sub(r"[^A-Za-z0-9+/=]", "", plain)) >= 24 and not re.search(r"(?i)\.\.\.|<|redacted|placeholder|your|x{12}|\$\{", plain):
+                    if _key_text(body):
                         found.add((m.start(), m.end() + len(body)))
             elif kind == "scheme":
-                m = SCHEME.match(text, at, high)
+                m = SCHEME.match(text, at)
                 if m and _usable(m.group(2)) and len(m.group(2)) >= 12 and re.search(r"\d|[A-Z]", m.group(2)[1:]):
                     v = _decoded(m.group(2)) if m.group(1).lower() == "basic" else m.group(2)
                     if not PLAIN.search(v):
                         found.add(m.span(2))
                 elif anchor in ("authorization", "x-auth"):
-                    line = text.find("\n", at, high)
-                    line = high if line < 0 else line
+                    line = text.find("\n", at, edge)
+                    line = edge if line < 0 else line
                     for m in SCHEME.finditer(text, at, line):
                         if _usable(m.group(2)):
                             found.add(m.span(2))
             elif kind == "flag":
-                line = text.find("\n", at, high)
+                line = text.find("\n", at, edge)
                 if anchor != "curl ":
-                    m = (SSHPASS if anchor == "sshpass " else LOGIN).match(text, at, high if line < 0 else line)
+                    m = (SSHPASS if anchor == "sshpass " else LOGIN).match(text, at, edge if line < 0 else line)
                     if m and _usable(m.group(1)):
                         found.add(m.span(1))
                     continue
-                for m in FLAG.finditer(text, at, high if line < 0 else line):
+                for m in FLAG.finditer(text, at, edge if line < 0 else line):
                     if m.group(1) and _usable(m.group(2)):
                         found.add(m.span(2))
 

@@ -1,3 +1,5 @@
+import base64
+import random
 import re
 
 import pytest
@@ -74,6 +76,31 @@ def test_lines_and_tables(spark):
     assert secrets.find_lines(df.where("false")).count() == 0
 
 
+def pem(n):
+    body = base64.b64encode(random.Random(n).randbytes(n)).decode()
+    return "-----BEGIN PRIVATE KEY-----\n" + "\n".join(body[k : k + 64] for k in range(0, len(body), 64)) + "\n-----END PRIVATE KEY-----\n"
+
+
+@pytest.mark.parametrize("n", [200, 2400, 9000, 30_000])
+def test_long_and_encoded_keys(n):
+    code = base64.b64encode(pem(n).encode()).decode()
+    for text in (f'private_key = "{code}"', f'private_key = base64.b64decode("{code}")', f'const signingKey = atob("{code}");', f'secret = b64decode("{code[:99]}"\n  "{code[99:]}")'):
+        clean = secrets.masked(text)
+        assert secrets.MASK in clean and code[:40] not in clean and code[-40:] not in clean
+    assert secrets.masked(f"private_key: {code}\n", True) == f"private_key: {secrets.MASK}\n"
+    public = base64.b64encode(pem(n).replace("PRIVATE", "PUBLIC").encode()).decode()
+    sample = base64.b64encode(b"-----BEGIN PRIVATE KEY-----\n<your key>\n-----END PRIVATE KEY-----\n").decode()
+    assert secrets.spans_of(f'secret = b64decode("{public}")') == secrets.spans_of(f'secret = b64decode("{sample}")') == []
+
+
+def test_long_value_over_a_window(monkeypatch):
+    code = base64.b64encode(pem(3000).encode()).decode()
+    text = "x = 1\n" * 300 + f'token = "{code}"\n' + "x = 1\n" * 300 + f'h = "Authorization: Bearer {code}"\n'
+    monkeypatch.setattr(secrets, "WINDOW", 2500)
+    monkeypatch.setattr(secrets, "OVERLAP", 400)
+    assert secrets.masked(text) == text.replace(code, secrets.MASK)
+
+
 def test_long_text_is_read_whole():
     text = "x = 1\n" * 400_000 + 'password = "Archive!8603"\n'
     (span,) = secrets.spans_of(text)
