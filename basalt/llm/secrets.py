@@ -192,6 +192,34 @@ def _key_text(body: str) -> bool:
     return len(re.sub(r"[^A-Za-z0-9+/=]", "", plain)) >= 24 and not re.search(r"(?i)\.\.\.|<|redacted|placeholder|your|x{12}|\$\{", plain)
 
 
+KEY_LINE = re.compile(r"(?P<before>[ \t\r#*/+\"'`,;(]*)(?P<key>[A-Za-z0-9+/]*={0,2})(?P<after>[ \t\r+\"'`,;)\\]*)(?P<rest>.*)")
+KEY_HEADER = re.compile(r"[ \t\r#*/+\"'`,]*[A-Za-z][A-Za-z0-9-]*: ")
+
+
+def _key_end(text: str, at: int) -> int:
+    """Where a key without an END line stops: after its last line (real or escaped) of key text."""
+    end, begun = at, False
+    while at < len(text):
+        cut = BREAK.search(text, at)
+        stop = cut.start() if cut else len(text)
+        line = KEY_LINE.match(text, at, stop)
+        key = line.group("key")
+        if len(key) >= 16:
+            end, begun = line.end("key"), True
+            if line.group("rest"):
+                break
+        elif key or line.group("rest"):
+            if begun and not line.group("rest") and not re.fullmatch(r"[a-z]+", key):
+                end = line.end("key")  # the last line is a short one
+            if begun or not KEY_HEADER.match(text, at, stop):
+                break
+        at = cut.end() if cut else stop
+    return end
+
+
+BREAK = re.compile(r"\n|\\n")
+
+
 def _in_comment_or_string(text: str, at: int) -> bool:
     start = text.rfind("\n", 0, at) + 1
     head = text[start:at]
@@ -353,7 +381,7 @@ def _scan(text: str, low: int, high: int, config: bool, found: set[tuple[int, in
                 m = ARMOR.match(text, at)
                 if m:
                     stop_at = re.compile(r"-----END [A-Z0-9 ]*-----").search(text, m.end())
-                    body = text[m.end() : stop_at.start() if stop_at else min(len(text), m.end() + 8192)]
+                    body = text[m.end() : stop_at.start() if stop_at else _key_end(text, m.end())]
                     if _key_text(body):
                         found.add((m.start(), m.end() + len(body)))
             elif kind == "scheme":

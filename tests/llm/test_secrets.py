@@ -93,6 +93,15 @@ def test_long_and_encoded_keys(n):
     assert secrets.spans_of(f'secret = b64decode("{public}")') == secrets.spans_of(f'secret = b64decode("{sample}")') == []
 
 
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_key_block_without_end(n):
+    lines = pem(n).split("\n")[1:-2]
+    block = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", "", *lines])
+    for text in (f'x = """{block}"""\nremaining = compute(x)\n', block + "\nremaining = compute(x)\n", 'x = "' + block.replace("\n", "\\n") + '"\nremaining = compute(x)\n'):
+        clean = secrets.masked(text)
+        assert not any(k in clean for k in lines) and clean.endswith("\nremaining = compute(x)\n")
+
+
 def test_long_value_over_a_window(monkeypatch):
     code = base64.b64encode(pem(3000).encode()).decode()
     text = "x = 1\n" * 300 + f'token = "{code}"\n' + "x = 1\n" * 300 + f'h = "Authorization: Bearer {code}"\n'
