@@ -4,6 +4,9 @@ Method. Vector best-fit, decreasing: an item takes tokens, one document place an
 (the square of its tokens) from a container. Of the containers that can take it under every
 constraint it goes to the one with the least weighted residual norm afterwards; the token residual
 leads, the residuals of places and attention decide between containers of the same token residual.
+With the attention capacity that ``pack`` gives by default, the square of the tokens', this constraint is
+slack: sizes that sum to at most the capacity have squares that sum to at most its square. Containers of
+one residual are ranked over the first places only, until one at place 65 or later is feasible.
 
 The token counts are taken where the texts lie; only (key, piece, tokens) is shuffled, to shards of
 about ``per_shard`` items by a hash of the key, and each shard is packed by itself. A shard leaves a
