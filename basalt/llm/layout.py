@@ -100,6 +100,27 @@ def statistics(text: str) -> dict[str, float]:
     }
 
 
+def _header(text: str) -> list[str]:
+    """The lines above the first line of code, however many, and the first 30 in any case."""
+    lines, closing, n = text.splitlines(), "", 0
+    for line in lines:
+        s = line.lstrip("\ufeff \t")
+        if closing:
+            closing = "" if closing in s else closing
+        elif s:
+            opened = next((o for o in BLOCKS if s.startswith(o)), "")
+            if opened:
+                closing = "" if BLOCKS[opened] in s[len(opened) :] else BLOCKS[opened]
+            elif not s.startswith(("#", "//", "*", ";", "--")):
+                break
+        n += 1
+    least = text[:4000].splitlines()[:30]
+    return lines[:n] if n > len(least) else least
+
+
+BLOCKS = {"/*": "*/", '"""': '"""', "'''": "'''", "<!--": "-->"}
+
+
 def verdict(path: str | None, text: str) -> str:
     """'' for hand-written source, else generated, minified, vendored or data."""
     parts = (path or "").split("/")
@@ -118,7 +139,7 @@ def verdict(path: str | None, text: str) -> str:
         return "data"  # bytes of no text
     if re.match(r"""\s*["']use strict["'];?\s*Object\.defineProperty\(exports, ["']__esModule["']""", text[:400]):
         return "generated"
-    head = text[:4000].splitlines()[:30]
+    head = _header(text)
     for line in [*head, *(text[-1000:].splitlines()[-4:] if len(text) > 4000 or len(head) > 8 else ())]:
         s = line.lstrip("﻿ \t")
         if not s or OURS.search(s) or not s.startswith(("#", "//", "/*", "*", "<!--", '"""', "'''", ";", "--")):

@@ -50,3 +50,13 @@ def test_tables(spark):
 def test_statistics_of_a_long_line():
     st = layout.statistics("a" * 1_000_000)
     assert st["max_line"] == 1_000_000 and st["white_share"] == 0
+
+
+@pytest.mark.parametrize("mark", ["Code generated by protoc v3. DO NOT EDIT.", "Copied unchanged from upstream"])
+@pytest.mark.parametrize("block", [False, True])
+def test_marker_below_a_long_preamble(mark, block):
+    lines = [f" * Clause {i} of the terms under which the parts of this work may be used." for i in range(90)]
+    head = "/*\n" + "\n".join(lines) + f"\n * {mark}\n */\n" if block else "".join(f"//{x[2:]}\n" for x in [*lines, f" * {mark}"])
+    code = "".join(f"int add_{k}(int first, int second) {{\n    return first + second * {k};\n}}\n" for k in range(4))
+    assert layout.verdict("src/add.c", head + code)
+    assert layout.verdict("src/add.c", head.replace(mark, "Kept in order.") + code) == ""
