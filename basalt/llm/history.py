@@ -1,20 +1,32 @@
 """Deduplicating new batches of facts against all history.
 
-Method. An inverted index of rare-token prefixes, partitioned by token. A fact becomes the set of its
-informative tokens: code symbols, numbers, names of things (words that also occur in the module part
-of symbols, unless templates use them far more often), places of deployment, and whether it takes
-something back. Tokens are ordered by rarity (symbols first, then by document frequency). The
-postings of a fact are its rarest tokens under its symbols; as at most ``MISSES`` tokens may differ,
-two facts that agree share one of their first ``MISSES + 1``. A batch probes the postings with its
-own prefixes, filters by length, verifies the overlap (what is missing must be a misspelling of what
-is there; numbers, places, negation and symbols must agree; close vectors allow a second misspelling)
-and appends its own postings. History is never read again: only its postings of the tokens probed.
-
-Copies are one class: facts of one signature meet in a map-side combined aggregation, never in a
-join, and only one posting per class and batch is written, so a third of all rows being copies costs
-one row. The word statistics (``fit_words``) are taken once over all facts given and then stay fixed.
-
-Defined results: NULL or blank content, NULL group or NULL time makes no case and no posting;
+Method. An incremental inverted index of rare-token prefixes, partitioned by token. A fact is split into
+symbols, numbers, whether it is taken back, and words. Words that only carry the wording are set apart
+by statistics of the corpus (``wording``): those in more than a twentieth of all texts, those that keep
+to the edges of a text, and those that come with the same companions (a word of a phrase drags the rest of
+the phrase along, a name stands beside any word). All other words, unknown ones too, are content.
+Two facts say the same if symbols and numbers agree, the content words agree but for misspellings, and
+neither takes back what the other says. Content words have a fixed order, rarest first (by the frequency
+they had when the index first met them), so two facts of which at most ``MISSES`` words differ share one
+of their first ``MISSES + 1`` words. A batch probes the postings with its own prefixes, filters by
+length, verifies the overlap of the contents (vectors decide where the words leave it open) and
+appends the postings of what it accepts.
+
+History is not read again. Every batch is a folder of postings sorted by token; a probe hands the ranges of its tokens
+to the scan, and the page index of the files leaves out every page that holds none of them. Vectors
+are fetched the same way, by class, for undecided pairs only. A batch of more than ``PROBES`` tokens (a
+bulk load) joins with the postings instead. The word statistics are additive: a batch merges its own
+counts with those of the batch before, and never sees a later one.
+
+An index lives in its folder. Another session opens it by the path and goes on; a batch's folder counts
+only when it is listed as done, so a batch that failed or is written again leaves no double rows.
+
+Facts are compared with accepted ones only, in the order of (time, id), within a batch as well: what
+repeats a rejected fact alone is accepted. So the cutting into batches changes nothing but the
+statistics a fact is judged by. Copies (one bag of words) are one class and meet in a map-side
+combined aggregation, never in a join, so a third of all rows being copies costs one posting.
+
+Defined results: NULL or blank content, NULL group, id or time makes no case and no posting;
 repeated rows of one id count once; equal times go by id; NULL, all-zero or foreign vectors decide
 nothing. An empty batch leaves the index as it is.
 """
@@ -22,10 +34,11 @@ nothing. An empty batch leaves the index as it is.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,51 +46,51 @@ from basalt.functions import vectors
 from basalt.session import fresh_path, stage
 
 MISSES = 2
-#: the cosine at which two misspellings may be told apart from two changes
-CLOSE = 0.95
-BUCKETS = 64
-#: the name words are broadcast up to this many and joined by shuffle beyond
-BROADCAST_WORDS = 200_000
-
-SYMBOL = re.compile(r"[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Za-z0-9]+(?:_+[A-Za-z0-9]+)+")
-WORD = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*")
-# How a fact is taken back, and places of deployment.
+#: the cosines from which a pair that the words leave open is taken for the same: two misspellings, a word more
+CLOSE, NEAR = 0.95, 0.9
+#: a word is wording if it is in this share of all texts (and in 50), if this share of its places is at an
+#: edge (of 8), or if it has two companions in this share of its texts, three times as often as elsewhere, in texts
+#: about at least 6 things (a fact that is told in many variants is one thing)
+COMMON, EDGE, FIXED, LIFT = 0.05, 0.95, 0.2, 3
+#: how many words apart companions may be
+REACH = 5
+#: a word known from fewer texts than this may be a rare way to say it
+RARE = 20
+#: most tokens that a probe hands to the scan, most words that are broadcast; beyond, joins take their place
+PROBES, BROADCAST_WORDS = 4096, 200_000
+DAY = 86_400_000
+
+TOKEN = re.compile(r"(?P<symbol>[A-Za-z][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)+|[A-Za-z0-9]+(?:_+[A-Za-z0-9]+)+)|(?P<word>[^\W\d_]+)|(?P<number>\d+(?:[.,]\d+)*)")
+# A lexicon of English, French, German and Spanish: how a statement is taken back, and words of negation.
 RETRACTED = re.compile(
     r"(?i)\brevert(ed)?\b|no longer (true|valid|the case|holds|applies)|wrong assumption|\bnot (the case|true|valid|so)\b|\b(is|was) (false|wrong|untrue)\b|"
     r"\bfalse:|\bretract|\bwithdrawn\b|does not hold|doesn't hold|\bincorrect\b|n'est plus (vrai|valable|valide)|plus valable|\bfaux\b|nicht mehr|stimmt nicht|ya no es"
 )
-PLACES = re.compile(
-    r"(?i)\b(production|prod|staging|preview(?: cluster)?|replica|nightly(?: job)?|batch mode|local(?: runs?)?|release branch|canary|sandbox|dev(?:elopment)?(?: cluster)?|"
-    r"test(?:ing)? cluster|ci(?: runs?)?|on-?prem|cloud|edge|main branch|debug mode|dry run|integration|qa|uat|demo|beta)\b"
-)
-
-# Remarks around a fact that are no part of what it says.
-REMARKS = re.compile(
-    r"(?i)\s[-–—]\s*(seen|noted|said|mentioned|observed) (again|before|earlier|already)[^.\n]*$|\[(same|seen|see|recap|again|repeat)[^\]\n]*\]|\((confirmed|again|repeated|recap)[^)\n]*\)|#\w+\s*$|"
-    r",?\s*as (agreed|said|noted)( (before|earlier))?\s*$|^\W*(as said (before|earlier)|learned today|reminder|note|fact|memo|fyi|recap|again)\b\W*"
-)
-
-FEATURES = "id string, group_id string, at bigint, sym string, nums array<string>, place string, taken_back boolean, words array<string>, mods array<string>, emb array<float>, emb_model string"
-
-
-def features(content: str) -> tuple[str, list[str], str, bool, list[str], list[str]]:
-    """Symbols, numbers, place, taken back, other words, and the words of symbols' module parts."""
-    content = REMARKS.sub(" ", REMARKS.sub(" ", content))
-    symbols = sorted(set(SYMBOL.findall(content)))
-    rest = SYMBOL.sub(" ", content)
-    place = ",".join(sorted({re.sub(r"\s+", " ", m.lower()) for m in PLACES.findall(rest)}))
-    words, nums = set(), set()
-    for w in WORD.findall(rest):
-        if w[0].isdigit():
-            nums.add(w)
+NEGATIONS = frozenset("not no never none nor neither cannot without t ne pas jamais aucun nicht kein keine nie nunca ningun ninguna".split())
+
+FEATURES = "id string, group_id string, at bigint, sym string, nums array<string>, taken_back boolean, seq array<string>, form bigint, emb array<float>, emb_model string"
+CLASS = "cid bigint, group_id string, first struct<at: bigint, id: string>, named boolean, names array<string>, rare array<boolean>, others array<string>"
+POSTING = CLASS + ", token bigint"
+VECTOR = "cid bigint, emb array<float>, emb_model string"
+WORDS = "word string, df bigint, edge bigint, born int, df0 bigint, wording boolean"
+PAIRS = "word string, other string, n bigint, seen bigint"
+
+
+def features(content: str) -> tuple[str, list[str], bool, list[str]]:
+    """Symbols, numbers, taken back, and the words in their order ('' stands for a symbol or number)."""
+    symbols, nums, seq = set(), set(), []
+    for m in TOKEN.finditer(content):
+        w = m.group(0)
+        if m.lastgroup == "word":
+            seq.append(w.lower())
         else:
-            words.add(w.lower())
-    mods = {w.lower() for s in symbols for w in s.split(".")[0].split("_") if len(w) > 2 and not w[0].isdigit()}
-    return " ".join(symbols), sorted(nums), place, bool(RETRACTED.search(rest)), sorted(words), sorted(mods)
+            (symbols if m.lastgroup == "symbol" else nums).add(w.lower())
+            seq.append("")
+    return " ".join(sorted(symbols)), sorted(nums), bool(RETRACTED.search(content)), seq
 
 
 def featurise(facts: DataFrame) -> DataFrame:
-    """One row per fact that can make a case; repeated ids once."""
+    """One row per fact that can make a case; repeated ids once. ``form`` is a hash of its bag of words."""
     slim = facts.where(F.col("content").isNotNull() & F.col("group_id").isNotNull() & F.col("created_at").isNotNull() & F.col("id").isNotNull()).select(
         "id", "group_id", "created_at", "content", F.col("emb").cast("array<float>").alias("emb"), F.col("emb_model").cast("string").alias("emb_model")
     )
@@ -90,70 +103,133 @@ def featurise(facts: DataFrame) -> DataFrame:
                     keep.append(i)
                     rows.append(features(t))
             t = b.take(pa.array(keep, pa.int64()))
-            sym, nums, place, back, words, mods = zip(*rows, strict=True) if rows else ((),) * 6
+            sym, nums, back, seq = zip(*rows, strict=True) if rows else ((),) * 4
+            strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
                 [
                     t.column(0).cast(pa.string()), t.column(1).cast(pa.string()), t.column(2).cast(pa.int64()),
-                    pa.array(sym, pa.string()), pa.array(nums, pa.list_(pa.string())), pa.array(place, pa.string()), pa.array(back, pa.bool_()),
-                    pa.array(words, pa.list_(pa.string())), pa.array(mods, pa.list_(pa.string())), t.column(4), t.column(5),
+                    pa.array(sym, pa.string()), pa.array(nums, strings), pa.array(back, pa.bool_()), pa.array(seq, strings), t.column(4), t.column(5),
                 ],
-                names=["id", "group_id", "at", "sym", "nums", "place", "taken_back", "words", "mods", "emb", "emb_model"],
+                names=["id", "group_id", "at", "sym", "nums", "taken_back", "seq", "emb", "emb_model"],
             )
 
-    return slim.mapInArrow(run, FEATURES).dropDuplicates(["id"])
+    found = slim.mapInArrow(run, FEATURES.replace(" form bigint,", "")).dropDuplicates(["id"])
+    return found.withColumn("form", F.xxhash64("sym", "nums", "taken_back", F.array_sort(F.array_distinct("seq")))).select(*(x.split()[0] for x in FEATURES.split(", ")))
 
 
-def fit_words(feats: DataFrame) -> DataFrame:
-    """``word, df``: the words that name things, with the number of facts that use them."""
-    text = feats.select(F.explode("words").alias("word"), F.lit(1).alias("t"), F.lit(0).alias("m"))
-    mods = feats.select(F.explode("mods").alias("word"), F.lit(0).alias("t"), F.lit(1).alias("m"))
-    counts = text.unionByName(mods).groupBy("word").agg(F.sum("t").alias("df"), F.sum("m").alias("m")).where("m > 0")
-    usual = counts.where("df > 0").agg(F.percentile_approx(F.col("df") / F.col("m"), 0.5).alias("usual"))
-    return counts.crossJoin(F.broadcast(usual)).where("df < 20 or df / m <= 4 * usual").select("word", "df")
+def counted(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``word, df, edge`` and ``word, other, n, seen``: in how many texts (each bag of words once) a word stands, in
+    how many at an edge only, and in how many with another within ``REACH``; ``seen`` has a bit for each of 64
+    classes of what these texts are about. Partial counts leave a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        edge: Counter = Counter()
+        pairs: Counter = Counter()
+        bits: dict[tuple[str, str], int] = {}
+
+        def out() -> pa.RecordBatch:
+            w = list(df)
+            rows = [(x, "", df[x], edge[x], 0) for x in w] + [(*p, n, 0, bits[p] - (bits[p] >> 63 << 64)) for p, n in pairs.items()]
+            a, b, n, e, m = zip(*rows, strict=True) if rows else ((),) * 5
+            i = pa.int64()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, i), pa.array(e, i), pa.array(m, i)], names=["word", "other", "n", "edge", "seen"])
 
-def signed(feats: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds ``names`` (name words, rarest first), ``others`` and the signature ``sig``."""
+        for b in batches:
+            for seq, about in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n, inner, near = len(seq), set(), set()
+                for i, w in enumerate(seq):
+                    if w:
+                        if 2 <= i < n - 2:
+                            inner.add(w)
+                        near.update((w, x) for x in seq[max(0, i - REACH) : i + REACH + 1] if x and x != w)
+                words = {w for w in seq if w}
+                df.update(words)
+                edge.update(words - inner)
+                pairs.update(near)
+                for x in near:
+                    bits[x] = bits.get(x, 0) | 1 << about
+            if len(pairs) > 500_000:
+                yield out()
+                df.clear(), edge.clear(), pairs.clear(), bits.clear()
+        yield out()
+
+    about = F.pmod(F.when(F.col("sym") == "", F.xxhash64("form")).otherwise(F.xxhash64("sym")), F.lit(64))
+    distinct = feats.groupBy("form").agg(F.first("seq").alias("seq"), F.first(about).alias("about")).select("seq", "about")
+    rows = distinct.mapInArrow(run, "word string, other string, n bigint, edge bigint, seen bigint").groupBy("word", "other").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.bit_or("seen").alias("seen"))
+    rows = stage(rows, "counts")
+    return rows.where("other = ''").select("word", F.col("n").alias("df"), "edge"), rows.where("other <> ''").select("word", "other", "n", "seen")
+
+
+def wording(words: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
+    """Adds ``wording`` to ``words``."""
+    often = pairs.where(F.bit_count("seen") >= 6).join(words.select("word", "df"), "word").where(F.col("n") >= FIXED * F.col("df"))
+    base = words.select(F.col("word").alias("other"), F.col("df").alias("df_other"))
+    tied = often.join(base, "other").where(F.col("n") * total >= LIFT * F.col("df") * F.col("df_other")).groupBy("word").agg((F.count("*") >= 2).alias("tied"))
+    flag = ((F.col("df") >= 50) & (F.col("df") > COMMON * total)) | ((F.col("df") >= 8) & (F.col("edge") >= EDGE * F.col("df"))) | F.coalesce("tied", F.lit(False))
+    flagged = stage(words.join(tied, "word", "left").withColumn("wording", flag).drop("tied"), "flagged")
+    # a rare word one letter from a usual word of the wording is that word misspelt
+    usual = flagged.where(F.col("wording") & (F.col("df") >= RARE) & (F.length("word") >= 4)).select(F.explode(_shorter(F.col("word"))).alias("form"))
+    seldom = flagged.where(~F.col("wording") & (F.col("df") < 5) & (F.length("word") >= 4)).select("word", F.explode(_shorter(F.col("word"))).alias("form"))
+    slips = seldom.join(usual.distinct(), "form", "left_semi").select("word").distinct().withColumn("slip", F.lit(True))
+    return flagged.join(slips, "word", "left").withColumn("wording", F.col("wording") | F.coalesce("slip", F.lit(False))).drop("slip")
+
+
+def _shorter(w):
+    """A word and its forms with one letter left out: words one letter apart share one."""
+    return F.array_distinct(F.concat(F.array(w), F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
+
+
+def split_words(feats: DataFrame, words: DataFrame, batch: int) -> DataFrame:
+    """Adds ``names`` (content words in the fixed order, rarest first), ``rare`` (whether each is known from
+    few texts) and ``others``. A word that the statistics do not hold is new, so it comes first.
+    A text of nothing but wording is taken as content."""
     spark = feats.sparkSession
-    n = words.count()
-    if n <= BROADCAST_WORDS:
-        vocabulary = {r["word"]: r["df"] for r in words.toLocalIterator()}
-        shared = spark.sparkContext.broadcast(vocabulary)
-        more = T.ArrayType(T.StringType())
-        schema = T.StructType([*feats.schema.fields, T.StructField("names", more), T.StructField("others", more)])
-        at = feats.columns.index("words")
+    known = words.where("df >= 2 or wording")
+    if known.count() <= BROADCAST_WORDS:
+        shared = spark.sparkContext.broadcast({r["word"]: (-r["born"], r["df0"], r["df"], r["wording"]) for r in known.toLocalIterator()})
+        strings = T.ArrayType(T.StringType())
+        schema = T.StructType([*feats.schema.fields, T.StructField("names", strings), T.StructField("rare", T.ArrayType(T.BooleanType())), T.StructField("others", strings)])
+        at = feats.columns.index("seq")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            v = shared.value
+            v, new = shared.value, (-batch, 1, 1, False)
             for b in batches:
-                names, others = [], []
-                for ws in b.column(at).to_pylist():
-                    names.append(sorted((w for w in ws if w in v), key=lambda w: (v[w], w)))
-                    others.append([w for w in ws if w not in v])
+                names, rare, others = [], [], []
+                for seq in b.column(at).to_pylist():
+                    ws = {w for w in seq if w}
+                    content = [w for w in ws if not v.get(w, new)[3]] or ws
+                    content = sorted(content, key=lambda w: (*v.get(w, new)[:2], w))
+                    names.append(content)
+                    rare.append([v.get(w, new)[2] < RARE for w in content])
+                    others.append(sorted(ws.difference(content)))
                 s = pa.list_(pa.string())
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, s), pa.array(others, s)], names=[*b.schema.names, "names", "others"])
-
-        out = feats.mapInArrow(run, schema)
-    else:
-        # salted, as a template's word may be in a third of all facts
-        salt = 16
-        tokens = feats.select("id", F.explode_outer("words").alias("word"), F.pmod(F.xxhash64("id"), F.lit(salt)).alias("salt"))
-        spread = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-        marked = tokens.join(spread, ["word", "salt"], "left").groupBy("id").agg(
-            F.array_sort(F.collect_list(F.when(F.col("df").isNotNull(), F.struct("df", "word")))).alias("n"),
-            F.collect_list(F.when(F.col("df").isNull(), F.col("word"))).alias("others"),
-        )
-        out = feats.join(marked.select("id", F.col("n.word").alias("names"), "others"), "id")
-    key = F.concat_ws("\u0001", F.col("sym"), F.concat_ws(" ", "nums"), F.concat_ws(" ", F.array_sort("names")), F.col("place"), F.col("taken_back").cast("string"))
-    return out.withColumn("sig", F.sha2(key, 256))
-
-
-def _prefixes(df: DataFrame) -> DataFrame:
-    """One row per probe token: the symbols with one of the rarest names, or with none if there are few."""
-    few = F.when(F.size("names") <= MISSES, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    rare = F.slice("names", 1, MISSES + 1)
-    token = F.explode(F.concat(rare, few)).alias("name")
-    return df.select("*", token).withColumn("token", F.xxhash64("group_id", "sym", F.concat_ws(" ", "nums"), "place", "taken_back", "name")).drop("name")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, s), pa.array(rare, pa.list_(pa.bool_())), pa.array(others, s)], names=[*b.schema.names, "names", "rare", "others"])
+
+        return feats.mapInArrow(run, schema)
+    # salted, as a common word may be in a third of all facts
+    salt = 16
+    tokens = feats.select("id", F.explode_outer(F.array_distinct("seq")).alias("word"), F.pmod(F.xxhash64("id"), F.lit(salt)).alias("salt"))
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    order = F.struct(-F.coalesce("born", F.lit(batch)), F.coalesce("df0", F.lit(1)), "word", (F.coalesce("df", F.lit(1)) < RARE).alias("rare"), F.coalesce("wording", F.lit(False)).alias("wording"))
+    marked = tokens.join(spread, ["word", "salt"], "left").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("word") != "", order))).alias("w"))
+    content = F.filter("w", lambda x: ~x["wording"])
+    chosen = F.when(F.size(content) > 0, content).otherwise(F.col("w"))
+    marked = marked.select(
+        "id", chosen["word"].alias("names"), chosen["rare"].alias("rare"), F.array_except(F.array_sort(F.col("w.word")), chosen["word"]).alias("others")
+    )
+    return feats.join(marked, "id")
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """One row per probe token: what must agree exactly, with one of the rarest content words. Of one or two
+    words, of which one may be misspelt, every form with one letter left out is a token."""
+
+    few = F.when(F.size("names") > MISSES, F.slice("names", 1, MISSES + 1)).otherwise(F.flatten(F.transform("names", _shorter)))
+    keys = F.array_distinct(F.when(F.size("names") > 0, few).otherwise(F.array(F.lit(""))))
+    # three words or fewer may meet two words, so they bear the short forms as well
+    keys = F.when(F.size("names") == MISSES + 1, F.array_distinct(F.concat(keys, F.flatten(F.transform("names", _shorter))))).otherwise(keys)
+    return classes.withColumn("key", F.explode(keys)).withColumn("token", F.xxhash64("group_id", "exact", "key")).select(*(x.split()[0] for x in CLASS.replace("at: bigint, id: string", "").split(", ")), "token")
 
 
 def _near(a: str, b: str) -> bool:
@@ -166,92 +242,190 @@ def _near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
-def agree(n1: list[str], o1: list[str], n2: list[str], o2: list[str], cosine: float) -> bool:
-    """Whether two name sets are the same but for misspellings."""
-    s1, s2 = set(n1), set(n2)
-    a, b = s1 - s2, s2 - s1
-    missing = len(a) + len(b)
-    if missing == 0:
-        return True
-    if missing > (2 if cosine >= CLOSE else 1):
-        return False
-    r1, r2 = set(o1) - set(o2), set(o2) - set(o1)
-    return all(any(_near(w, x) for x in r2 | b) for w in a) and all(any(_near(w, x) for x in r1 | a) for w in b)
+SURE = -1.0
+
+
+def agree(names: list[str], rare: list[bool], others: list[str], names2: list[str], rare2: list[bool], others2: list[str], named: bool) -> float | None:
+    """Whether two facts of the same symbols and numbers say the same: ``SURE``, or the cosine that their
+    vectors must have, or None."""
+    a, b = set(names) - set(names2), set(names2) - set(names)
+    # a content word may be wording by the statistics of another batch
+    a, b = a - set(others2), b - set(others)
+    left, right = set(others) - set(others2) - set(names2), set(others2) - set(others) - set(names)
+    if not a and not b:
+        if (left or right) and left | right <= NEGATIONS:
+            return None
+        # other words about the same named thing, or about nothing named
+        return SURE if named or not left and not right else CLOSE
+    if len(a) > MISSES or len(b) > MISSES:
+        return None
+    if all(any(_near(w, x) for x in b | right) for w in a) and all(any(_near(w, x) for x in a | left) for w in b):
+        return SURE if max(len(a), len(b)) == 1 and (named or not left or not right or len(names) > MISSES) else CLOSE
+    unknown = dict(zip([*names, *names2], [*rare, *rare2], strict=True))
+    if a and b or (a | b) & NEGATIONS:
+        return None
+    # one side has words more: a remark or a rare way to say it, if few texts use them, or another wording
+    return NEAR if all(unknown[w] for w in a | b) else CLOSE if len(a | b) == 1 and left and right else None
 
 
 class HistoryIndex:
-    """The postings of all accepted facts, in a folder that every executor reaches."""
-
-    def __init__(self, spark: SparkSession, words: DataFrame, path: str | None = None):
-        self.spark, self.words = spark, words
-        self.path = path or fresh_path(spark, "history")
-        self.batches = 0
-
-    def _postings(self, df: DataFrame) -> DataFrame:
-        return _prefixes(df).withColumn("bucket", F.pmod("token", F.lit(BUCKETS)).cast("int"))
-
-    def accept(self, feats: DataFrame) -> DataFrame:
-        """Checks a batch against the history and itself; returns ``id, earlier_id`` of the facts to
-        reject and appends the postings of the batch's classes."""
-        marked = stage(signed(feats, self.words), "batch")
+    """The postings of all accepted facts, in a folder that every executor reaches. A path that holds an
+    index already is opened and gone on with."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = (path or fresh_path(spark, "history")).rstrip("/")
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def done(self) -> list[int]:
+        """Numbers of the batches that were written whole."""
+        path, fs = self._fs()
+        at = path(f"{self.path}/done")
+        return sorted(int(s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _read(self, name: str, schema: str, batches: list[int]) -> DataFrame:
+        paths = [f"{self.path}/{name}/{b:08d}" for b in batches]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def _write(self, df: DataFrame, name: str, batch: int, order: str) -> None:
+        # small pages: a probe reads the pages that hold its tokens
+        df.sortWithinPartitions(order).write.mode("overwrite").option("parquet.page.row.count.limit", 512).parquet(f"{self.path}/{name}/{batch:08d}")
+
+    def _held(self, name: str, schema: str, batches: list[int], key: str, asked: DataFrame) -> DataFrame:
+        """Rows of the history whose ``key`` is among ``asked``."""
+        kept = self._read(name, schema, batches)
+        wanted = asked.select(key).distinct()
+        few = [r[0] for r in wanted.limit(PROBES + 1).collect()]
+        if len(few) <= PROBES:
+            return kept.where(_within(F.col(key), few)).where(F.col(key).isin(few))
+        return kept.join(wanted, key, "left_semi")
+
+    def _learn(self, feats: DataFrame, before: list[int], batch: int) -> tuple[DataFrame, int]:
+        """Merges the batch's counts with those of the batch before; the words with their flags."""
+        words, pairs = counted(feats)
+        last = before[-1:]
+        old = self._read("words", WORDS, last)
+        merged = old.select("word", "df", "edge", "born", "df0").unionByName(words.withColumn("born", F.lit(batch)).withColumn("df0", F.col("df")))
+        merged = merged.groupBy("word").agg(F.sum("df").alias("df"), F.sum("edge").alias("edge"), F.min(F.struct("born", "df0")).alias("b")).select("word", "df", "edge", "b.born", "b.df0")
+        both = self._read("pairs", PAIRS, last).unionByName(pairs).groupBy("word", "other").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
+        both.write.mode("overwrite").parquet(f"{self.path}/pairs/{batch:08d}")
+        size = self._read("size", "n bigint", before).agg(F.sum("n")).collect()[0][0] or 0
+        mine = feats.select("form").distinct().count()
+        self.spark.createDataFrame([(mine,)], "n bigint").write.mode("overwrite").parquet(f"{self.path}/size/{batch:08d}")
+        wording(merged, self._read("pairs", PAIRS, [batch]), size + mine).select(*(x.split()[0] for x in WORDS.split(", "))).write.mode("overwrite").parquet(f"{self.path}/words/{batch:08d}")
+        return self._read("words", WORDS, [batch]), size + mine
+
+    def accept(self, feats: DataFrame, batch: int | None = None) -> DataFrame:
+        """Checks a batch (rows of ``featurise``) against the history and itself; returns ``id, earlier_id`` of
+        the facts to reject and appends the postings of the classes it accepts. ``batch`` numbers rise;
+        a number that is given again takes the place of that batch, which must be the last."""
+        before = [b for b in self.done() if batch is None or b < batch]
+        batch = (before[-1] + 1 if before else 0) if batch is None else batch
+        feats = stage(feats, "batch")
+        if feats.isEmpty():
+            return self.spark.createDataFrame([], "id string, earlier_id string")
+        words, _ = self._learn(feats, before, batch)
         order = F.struct("at", "id")
-        classes = stage(
-            marked.groupBy("group_id", "sig").agg(
-                F.min(order).alias("first"), F.min_by(F.struct("sym", "nums", "place", "taken_back", "names", "others", "emb", "emb_model"), order).alias("x")
-            ).select("group_id", "sig", "first", "x.*"),
-            "classes",
-        )
-        slim = ["group_id", "sig", "first", "names", "others", "token", "bucket"]
-        mine = self._postings(classes).select(*slim)
-        known = self.spark.read.parquet(f"{self.path}/postings").select(*slim).unionByName(mine) if self.batches else mine
-        p, h = mine.alias("p"), known.alias("h")
+        exact = F.concat_ws("\u0001", "sym", F.concat_ws(" ", "nums"), F.col("taken_back").cast("string"))
+        cid = F.xxhash64("group_id", "form")
+        # a class is settled before its words are split, so a copy is not split again
+        classes = feats.groupBy("group_id", "form").agg(
+            F.min(order).alias("first"), F.min_by(F.struct(F.col("id"), "sym", "nums", "taken_back", "seq"), order).alias("x"),
+            F.min_by(F.struct("emb", "emb_model"), F.when(F.col("emb").isNotNull(), order)).alias("v"),
+        ).select("group_id", "form", "first", "x.*", "v.*").withColumn("exact", exact).withColumn("cid", cid).withColumn("named", F.col("sym") != "")
+        classes = stage(split_words(classes, words, batch).drop("seq", "id", "nums", "taken_back", "sym", "form"), "classes")
+        mine = _postings(classes)
+        known = self._held("postings", POSTING, before, "token", mine) if before else None
+        p, h = mine.alias("p"), (mine if known is None else mine.withColumn("old", F.lit(False)).unionByName(known.withColumn("old", F.lit(True)))).alias("h")
+        old = F.lit(False) if known is None else F.col("h.old")
         length = F.abs(F.size("p.names") - F.size("h.names")) <= MISSES
-        pairs = (
-            p.join(h, (F.col("p.bucket") == F.col("h.bucket")) & (F.col("p.token") == F.col("h.token")) & (F.col("h.first") < F.col("p.first")) & length)
-            .where((F.col("p.group_id") == F.col("h.group_id")) & (F.col("p.sig") != F.col("h.sig")))
-            .select("p.group_id", "p.sig", F.col("h.first").alias("seen"), F.col("h.sig").alias("other"), F.col("p.names").alias("n1"), F.col("p.others").alias("o1"), F.col("h.names").alias("n2"), F.col("h.others").alias("o2"))
-        )
+        pairs = p.join(h, (F.col("p.token") == F.col("h.token")) & (F.col("p.group_id") == F.col("h.group_id")) & (F.col("h.first") < F.col("p.first")) & length).select(
+            F.col("p.cid").alias("cid"), F.col("h.cid").alias("other"), F.col("h.first").alias("seen"), old.alias("old"), F.col("p.named").alias("named"),
+            *(F.col(f"{s}.{c}").alias(f"{c}{s}") for s in "ph" for c in ("names", "rare", "others")),
+        )
 
         def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep, sure = [], []
-                for i, four in enumerate(zip(*(b.column(j).to_pylist() for j in range(4, 8)), strict=True)):
-                    if agree(*four, 1.0):
+                keep, needs = [], []
+                for i, seven in enumerate(zip(*(b.column(j).to_pylist() for j in range(5, 11)), b.column(4).to_pylist(), strict=True)):
+                    least = agree(*seven)
+                    if least is not None:
                         keep.append(i)
-                        sure.append(agree(*four, 0.0))
-                t = b.select(["group_id", "sig", "seen", "other"]).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(sure, pa.bool_())], names=[*t.schema.names, "sure"])
-
-        near = stage(pairs.mapInArrow(verify, "group_id string, sig string, seen struct<at: bigint, id: string>, other string, sure boolean").distinct(), "near")
-        # only pairs with two misspellings ask for their vectors, so these are never in the postings
-        mine_v = classes.select("group_id", "sig", "emb", "emb_model")
-        all_v = self.spark.read.schema(mine_v.schema).parquet(f"{self.path}/vectors").unionByName(mine_v) if self.batches else mine_v
-        left = mine_v.select("group_id", "sig", F.col("emb").alias("e1"), F.col("emb_model").alias("m1"))
-        right = all_v.select("group_id", F.col("sig").alias("other"), F.col("emb").alias("e2"), F.col("emb_model").alias("m2")).dropDuplicates(["group_id", "other"])
-        asked = near.where("not sure").join(left, ["group_id", "sig"]).join(right, ["group_id", "other"]).where("m1 = m2")
-        close = asked.where(vectors.cosine(F.col("e1"), F.col("e2")) >= CLOSE)
-        agreed = near.where("sure").select("group_id", "sig", "seen").unionByName(close.select("group_id", "sig", "seen"))
-        # a class met in an earlier batch is known by its signature
-        if self.batches:
-            before = self.spark.read.parquet(f"{self.path}/classes").select("group_id", "sig", F.col("first").alias("seen"))
-            agreed = agreed.unionByName(classes.select("group_id", "sig").join(before, ["group_id", "sig"]))
-        found = agreed.groupBy("group_id", "sig").agg(F.min("seen").alias("seen"))
-        best = classes.select("group_id", "sig", "first").join(found, ["group_id", "sig"], "left").select("group_id", "sig", F.least("first", F.coalesce("seen", "first")).alias("seen"))
-        out = marked.select("id", "at", "group_id", "sig").join(best, ["group_id", "sig"]).where(F.struct("at", "id") > F.col("seen")).select("id", F.col("seen.id").alias("earlier_id"))
+                        needs.append(least)
+                t = b.select(["cid", "other", "seen", "old"]).take(pa.array(keep, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*t.columns, pa.array(needs, pa.float64())], names=[*t.schema.names, "needs"])
+
+        near = stage(pairs.mapInArrow(verify, "cid bigint, other bigint, seen struct<at: bigint, id: string>, old boolean, needs double").distinct(), "near")
+        open_ = near.where(F.col("needs") > SURE)
+        agreed = near.where(F.col("needs") <= SURE)
+        if not open_.isEmpty():
+            # only undecided pairs ask for their vectors, so these are never in the postings
+            mine_v = classes.select("cid", "emb", "emb_model")
+            all_v = mine_v.unionByName(self._held("vectors", VECTOR, before, "cid", open_.where("old").select(F.col("other").alias("cid")))) if before else mine_v
+            left = mine_v.select("cid", F.col("emb").alias("e1"), F.col("emb_model").alias("m1"))
+            right = all_v.select(F.col("cid").alias("other"), F.col("emb").alias("e2"), F.col("emb_model").alias("m2"))
+            close = open_.join(left, "cid").join(right, "other").where((F.col("m1") == F.col("m2")) & (vectors.cosine(F.col("e1"), F.col("e2")) >= F.col("needs")))
+            agreed = stage(agreed.unionByName(close.select(*agreed.columns)), "agreed")
+        found = self._settled(agreed)
+        # every fact of a class but an accepted class's first repeats something
+        best = classes.select("cid", "group_id", "first").join(found, "cid", "left").select("cid", F.coalesce("seen", "first").alias("seen"))
+        out = feats.select("id", "at", cid.alias("cid")).join(best, "cid").where(F.struct("at", "id") > F.col("seen")).select("id", F.col("seen.id").alias("earlier_id"))
         out = stage(out, "rejects")
-        # what is appended is accepted: classes whose first fact repeats nothing
-        fresh = stage(classes.join(found, ["group_id", "sig"], "left_anti"), "fresh")
-        self._postings(fresh).select(*slim).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        fresh.select("group_id", "sig", "emb", "emb_model").write.mode("append").parquet(f"{self.path}/vectors")
-        fresh.select("group_id", "sig", "first").write.mode("append").parquet(f"{self.path}/classes")
-        self.batches += 1
+        fresh = stage(classes.join(found, "cid", "left_anti"), "fresh")
+        self._write(_postings(fresh), "postings", batch, "token")
+        self._write(fresh.where("emb is not null").select("cid", "emb", "emb_model"), "vectors", batch, "cid")
+        path, fs = self._fs()
+        fs.create(path(f"{self.path}/done/{batch:08d}"), True).close()
         return out
 
+    def _settled(self, edges: DataFrame) -> DataFrame:
+        """``cid, seen``: the classes to reject, with the first accepted fact each repeats. A class is rejected
+        if it meets an accepted one before it, in the order of time; history is accepted."""
+        edges = edges.select("cid", "other", "seen", "old")
+        gone = edges.where("old").select("cid").distinct()
+        rest = edges.where("not old").join(gone, "cid", "left_anti")
+        rejected = gone
+        while True:
+            # what has no open class before it is accepted; what meets such a class is rejected
+            open_ = rest.select("cid").distinct()
+            now = rest.join(rejected.select(F.col("cid").alias("other")), "other", "left_anti")
+            sure = now.join(open_.select(F.col("cid").alias("other")), "other", "left_anti").select("cid").distinct()
+            more = stage(sure, "rejected")
+            if more.isEmpty():
+                break
+            rejected = rejected.unionByName(more)
+            left = now.join(more, "cid", "left_anti")
+            # edges that lead to rejected classes alone are dropped: their class is accepted
+            left = stage(left.join(more.select(F.col("cid").alias("other")), "other", "left_anti"), "open")
+            if left.isEmpty():
+                break
+            rest = left
+        # a class is paired with the earliest accepted one (history, where the same class may stand as well, is accepted)
+        ok = edges.where("not old").join(rejected, "cid", "left_semi").join(rejected.select(F.col("cid").alias("other")), "other", "left_anti")
+        ok = ok.select("cid", "seen").unionByName(edges.where("old").select("cid", "seen"))
+        return stage(ok.groupBy("cid").agg(F.min("seen").alias("seen")), "found")
+
+
+def _within(x: Column, values: list[int], most: int = 256) -> Column:
+    """Whether ``x`` lies in one of at most ``most`` ranges around the values, cut at the widest gaps: a
+    balanced tree of comparisons, which a scan can hold against the page index."""
+    v = sorted(values)
+    if not v:
+        return F.lit(False)
+    cuts = sorted(sorted(range(1, len(v)), key=lambda i: v[i - 1] - v[i])[: most - 1])
+    terms = [x.between(v[a], v[z - 1]) for a, z in zip([0, *cuts], [*cuts, len(v)], strict=True)]
+    while len(terms) > 1:
+        terms = [terms[i] | terms[i + 1] if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
+    return terms[0]
+
 
 def day_batches(feats: DataFrame, batches: int) -> list[tuple[int, int]]:
     """Ranges of UTC days [from, to) that hold about equally many facts."""
-    day = 86_400_000
-    days = feats.groupBy(F.floor(F.col("at") / day).cast("bigint").alias("day")).count().orderBy("day").collect()
+    days = feats.groupBy(F.floor(F.col("at") / DAY).cast("bigint").alias("day")).count().orderBy("day").collect()
     if not days:
         return []
     total, cuts, run = sum(r["count"] for r in days), [], 0
@@ -261,15 +435,15 @@ def day_batches(feats: DataFrame, batches: int) -> list[tuple[int, int]]:
             run = 0
         run += r["count"]
     ends = [*cuts[1:], days[-1]["day"] + 1]
-    return [(a * day, b * day) for a, b in zip(cuts, ends, strict=True)]
+    return [(a * DAY, b * DAY) for a, b in zip(cuts, ends, strict=True)]
 
 
-def rejects(facts: DataFrame, batches: int = 3) -> DataFrame:
-    """Runs all facts through an index in batches of whole days, oldest first: ``id, earlier_id``."""
+def rejects(facts: DataFrame, batches: int = 3, path: str | None = None) -> DataFrame:
+    """Loads a table through an index, oldest days first: ``id, earlier_id``. Days are taken together in so
+    many batches of whole days, each judged by the statistics up to its own end."""
     spark = facts.sparkSession
     feats = stage(featurise(facts), "features")
-    words = stage(fit_words(feats), "words")
-    index = HistoryIndex(spark, words)
+    index = HistoryIndex(spark, path)
     out = None
     for low, high in day_batches(feats, batches):
         got = index.accept(feats.where((F.col("at") >= low) & (F.col("at") < high)))
