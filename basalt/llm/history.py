@@ -117,13 +117,14 @@ def featurise(facts: DataFrame) -> DataFrame:
     return found.withColumn("form", F.xxhash64("sym", "nums", "taken_back", F.array_sort(F.array_distinct("seq")))).select(*(x.split()[0] for x in FEATURES.split(", ")))
 
 
-def counted(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+def counted(feats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """``word, df, edge`` and ``word, other, n, seen``: in how many texts (each bag of words once) a word stands, in
     how many at an edge only, and in how many with another within ``REACH``; ``seen`` has a bit for each of 64
-    classes of what these texts are about. Partial counts leave a task."""
+    classes of what these texts are about. Partial counts
+    leave a task. The third is the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df: Counter = Counter()
+        df: Counter = Counter()  # '' stands for the texts themselves
         edge: Counter = Counter()
         pairs: Counter = Counter()
         bits: dict[tuple[str, str], int] = {}
@@ -145,6 +146,7 @@ def counted(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
                         near.update((w, x) for x in seq[max(0, i - REACH) : i + REACH + 1] if x and x != w)
                 words = {w for w in seq if w}
                 df.update(words)
+                df[""] += 1
                 edge.update(words - inner)
                 pairs.update(near)
                 for x in near:
@@ -158,7 +160,8 @@ def counted(feats: DataFrame) -> tuple[DataFrame, DataFrame]:
     distinct = feats.groupBy("form").agg(F.first("seq").alias("seq"), F.first(about).alias("about")).select("seq", "about")
     rows = distinct.mapInArrow(run, "word string, other string, n bigint, edge bigint, seen bigint").groupBy("word", "other").agg(F.sum("n").alias("n"), F.sum("edge").alias("edge"), F.bit_or("seen").alias("seen"))
     rows = stage(rows, "counts")
-    return rows.where("other = ''").select("word", F.col("n").alias("df"), "edge"), rows.where("other <> ''").select("word", "other", "n", "seen")
+    texts = rows.where("word = '' and other = ''").agg(F.sum("n")).collect()[0][0] or 0
+    return rows.where("other = '' and word <> ''").select("word", F.col("n").alias("df"), "edge"), rows.where("other <> ''").select("word", "other", "n", "seen"), texts
 
 
 def wording(words: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
@@ -209,27 +212,24 @@ def split_words(feats: DataFrame, words: DataFrame, batch: int) -> DataFrame:
         return feats.mapInArrow(run, schema)
     # salted, as a common word may be in a third of all facts
     salt = 16
-    tokens = feats.select("id", F.explode_outer(F.array_distinct("seq")).alias("word"), F.pmod(F.xxhash64("id"), F.lit(salt)).alias("salt"))
+    tokens = feats.select("cid", F.explode_outer(F.array_distinct("seq")).alias("word"), F.pmod("cid", F.lit(salt)).alias("salt"))
     spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     order = F.struct(-F.coalesce("born", F.lit(batch)), F.coalesce("df0", F.lit(1)), "word", (F.coalesce("df", F.lit(1)) < RARE).alias("rare"), F.coalesce("wording", F.lit(False)).alias("wording"))
-    marked = tokens.join(spread, ["word", "salt"], "left").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("word") != "", order))).alias("w"))
+    marked = tokens.join(spread, ["word", "salt"], "left").groupBy("cid").agg(F.array_sort(F.collect_list(F.when(F.col("word") != "", order))).alias("w"))
     content = F.filter("w", lambda x: ~x["wording"])
     chosen = F.when(F.size(content) > 0, content).otherwise(F.col("w"))
     marked = marked.select(
-        "id", chosen["word"].alias("names"), chosen["rare"].alias("rare"), F.array_except(F.array_sort(F.col("w.word")), chosen["word"]).alias("others")
+        "cid", chosen["word"].alias("names"), chosen["rare"].alias("rare"), F.array_except(F.array_sort(F.col("w.word")), chosen["word"]).alias("others")
     )
-    return feats.join(marked, "id")
+    return feats.join(marked, "cid")
 
 
 def _postings(classes: DataFrame) -> DataFrame:
-    """One row per probe token: what must agree exactly, with one of the rarest content words. Of one or two
-    words, of which one may be misspelt, every form with one letter left out is a token."""
-
-    few = F.when(F.size("names") > MISSES, F.slice("names", 1, MISSES + 1)).otherwise(F.flatten(F.transform("names", _shorter)))
-    keys = F.array_distinct(F.when(F.size("names") > 0, few).otherwise(F.array(F.lit(""))))
-    # three words or fewer may meet two words, so they bear the short forms as well
-    keys = F.when(F.size("names") == MISSES + 1, F.array_distinct(F.concat(keys, F.flatten(F.transform("names", _shorter))))).otherwise(keys)
-    return classes.withColumn("key", F.explode(keys)).withColumn("token", F.xxhash64("group_id", "exact", "key")).select(*(x.split()[0] for x in CLASS.replace("at: bigint, id: string", "").split(", ")), "token")
+    """One row per probe token: what must agree exactly, with one of the rarest content words. The single
+    word of a class that has no other may be misspelt, so its forms with one letter left out are tokens."""
+    keys = F.when(F.size("names") > 1, F.slice("names", 1, MISSES + 1)).when(F.size("names") == 1, _shorter(F.col("names")[0])).otherwise(F.array(F.lit("")))
+    out = classes.withColumn("key", F.explode(keys)).withColumn("token", F.xxhash64("group_id", "exact", "key"))
+    return out.select("cid", "group_id", "first", "named", "names", "rare", "others", "token")
 
 
 def _near(a: str, b: str) -> bool:
@@ -304,9 +304,9 @@ class HistoryIndex:
             return kept.where(_within(F.col(key), few)).where(F.col(key).isin(few))
         return kept.join(wanted, key, "left_semi")
 
-    def _learn(self, feats: DataFrame, before: list[int], batch: int) -> tuple[DataFrame, int]:
+    def _learn(self, feats: DataFrame, before: list[int], batch: int) -> DataFrame:
         """Merges the batch's counts with those of the batch before; the words with their flags."""
-        words, pairs = counted(feats)
+        words, pairs, mine = counted(feats)
         last = before[-1:]
         old = self._read("words", WORDS, last)
         merged = old.select("word", "df", "edge", "born", "df0").unionByName(words.withColumn("born", F.lit(batch)).withColumn("df0", F.col("df")))
@@ -314,30 +314,29 @@ class HistoryIndex:
         both = self._read("pairs", PAIRS, last).unionByName(pairs).groupBy("word", "other").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
         both.write.mode("overwrite").parquet(f"{self.path}/pairs/{batch:08d}")
         size = self._read("size", "n bigint", before).agg(F.sum("n")).collect()[0][0] or 0
-        mine = feats.select("form").distinct().count()
         self.spark.createDataFrame([(mine,)], "n bigint").write.mode("overwrite").parquet(f"{self.path}/size/{batch:08d}")
         wording(merged, self._read("pairs", PAIRS, [batch]), size + mine).select(*(x.split()[0] for x in WORDS.split(", "))).write.mode("overwrite").parquet(f"{self.path}/words/{batch:08d}")
-        return self._read("words", WORDS, [batch]), size + mine
+        return self._read("words", WORDS, [batch])
 
-    def accept(self, feats: DataFrame, batch: int | None = None) -> DataFrame:
+    def accept(self, feats: DataFrame, batch: int | None = None, stored: bool = False) -> DataFrame:
         """Checks a batch (rows of ``featurise``) against the history and itself; returns ``id, earlier_id`` of
         the facts to reject and appends the postings of the classes it accepts. ``batch`` numbers rise;
-        a number that is given again takes the place of that batch, which must be the last."""
+        a number that is given again takes the place of that batch, which must be the last. ``stored``: the
+        rows are read from a table, so they need not be written before they are read several times."""
         before = [b for b in self.done() if batch is None or b < batch]
         batch = (before[-1] + 1 if before else 0) if batch is None else batch
-        feats = stage(feats, "batch")
+        feats = feats if stored else stage(feats, "batch")
         if feats.isEmpty():
             return self.spark.createDataFrame([], "id string, earlier_id string")
-        words, _ = self._learn(feats, before, batch)
+        words = self._learn(feats, before, batch)
         order = F.struct("at", "id")
         exact = F.concat_ws("\u0001", "sym", F.concat_ws(" ", "nums"), F.col("taken_back").cast("string"))
         cid = F.xxhash64("group_id", "form")
         # a class is settled before its words are split, so a copy is not split again
         classes = feats.groupBy("group_id", "form").agg(
-            F.min(order).alias("first"), F.min_by(F.struct(F.col("id"), "sym", "nums", "taken_back", "seq"), order).alias("x"),
-            F.min_by(F.struct("emb", "emb_model"), F.when(F.col("emb").isNotNull(), order)).alias("v"),
-        ).select("group_id", "form", "first", "x.*", "v.*").withColumn("exact", exact).withColumn("cid", cid).withColumn("named", F.col("sym") != "")
-        classes = stage(split_words(classes, words, batch).drop("seq", "id", "nums", "taken_back", "sym", "form"), "classes")
+            F.min(order).alias("first"), F.min_by(F.struct("sym", "nums", "taken_back", "seq"), order).alias("x"),
+        ).select("group_id", "form", "first", "x.*").withColumn("exact", exact).withColumn("cid", cid).withColumn("named", F.col("sym") != "")
+        classes = stage(split_words(classes, words, batch).drop("seq", "nums", "taken_back", "sym", "form"), "classes")
         mine = _postings(classes)
         known = self._held("postings", POSTING, before, "token", mine) if before else None
         p, h = mine.alias("p"), (mine if known is None else mine.withColumn("old", F.lit(False)).unionByName(known.withColumn("old", F.lit(True)))).alias("h")
@@ -364,7 +363,7 @@ class HistoryIndex:
         agreed = near.where(F.col("needs") <= SURE)
         if not open_.isEmpty():
             # only undecided pairs ask for their vectors, so these are never in the postings
-            mine_v = classes.select("cid", "emb", "emb_model")
+            mine_v = self._vectors(feats, classes.join(open_.select("cid").unionByName(open_.select(F.col("other").alias("cid"))).distinct(), "cid", "left_semi"))
             all_v = mine_v.unionByName(self._held("vectors", VECTOR, before, "cid", open_.where("old").select(F.col("other").alias("cid")))) if before else mine_v
             left = mine_v.select("cid", F.col("emb").alias("e1"), F.col("emb_model").alias("m1"))
             right = all_v.select(F.col("cid").alias("other"), F.col("emb").alias("e2"), F.col("emb_model").alias("m2"))
@@ -377,11 +376,16 @@ class HistoryIndex:
         out = stage(out, "rejects")
         fresh = stage(classes.join(found, "cid", "left_anti"), "fresh")
         self._write(_postings(fresh), "postings", batch, "token")
-        self._write(fresh.where("emb is not null").select("cid", "emb", "emb_model"), "vectors", batch, "cid")
+        self._write(self._vectors(feats, fresh), "vectors", batch, "cid")
         path, fs = self._fs()
         fs.create(path(f"{self.path}/done/{batch:08d}"), True).close()
         return out
 
+    @staticmethod
+    def _vectors(feats: DataFrame, classes: DataFrame) -> DataFrame:
+        """``cid, emb, emb_model``: the vectors of the classes' first facts."""
+        return classes.select("cid", F.col("first.id").alias("id")).join(feats.where("emb is not null").select("id", "emb", "emb_model"), "id").select("cid", "emb", "emb_model")
+
     def _settled(self, edges: DataFrame) -> DataFrame:
         """``cid, seen``: the classes to reject, with the first accepted fact each repeats. A class is rejected
         if it meets an accepted one before it, in the order of time; history is accepted."""
@@ -446,6 +450,6 @@ def rejects(facts: DataFrame, batches: int = 3, path: str | None = None) -> Data
     index = HistoryIndex(spark, path)
     out = None
     for low, high in day_batches(feats, batches):
-        got = index.accept(feats.where((F.col("at") >= low) & (F.col("at") < high)))
+        got = index.accept(feats.where((F.col("at") >= low) & (F.col("at") < high)), stored=True)
         out = got if out is None else out.unionByName(got)
     return out if out is not None else spark.createDataFrame([], "id string, earlier_id string")
