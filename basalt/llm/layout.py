@@ -2,24 +2,29 @@
 
 Method. Per file: layout statistics (longest and mean line, white-space share, alphanumeric share,
 density of numeric literals, longest run of encoded text, share of lines that repeat another line's
-shape, share of text in rows of numbers, share of the two commonest line shapes where lines return things) against thresholds per language, together with the file's place and the words of its header.
+shape, share of text in rows of numbers, share of the two commonest line shapes where lines return things) against
+thresholds per language, together with the file's place and the words of its comments, wherever in the file they stand.
 One pass over each whole file in Arrow batches; nothing is shuffled but the dropping of repeated
-paths, whose rows are the same.
+paths, whose rows are the same. Statistics are counted in bytes: white space is ASCII, alphanumeric are ASCII
+letters and digits and every byte beyond ASCII.
 
 Defined results: NULL or empty content is hand-written (no statistics, place still counts); bytes
-that are not UTF-8 are decoded with replacement; a NULL path has no place and no language.
+that are not UTF-8 are decoded with replacement; a NULL path has no place and no language; files of suffixes
+without thresholds are judged by place and words if they are source (``SOURCE``), and configuration is never a case.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Folders that by custom hold third-party copies or tools' output.
+# Chosen here: folders that by custom hold third-party copies or tools' output.
 VENDORED = frozenset(
     "vendor vendors _vendor vendored third_party third-party thirdparty 3rdparty node_modules bower_components "
     "jspm_packages extern external externals deps site-packages pods carthage godeps".split()
@@ -29,7 +34,7 @@ NAMES = re.compile(
     r"(?i)(_pb2(_grpc)?\.pyi?|\.pb\.(go|c|cc|h)|\.min\.(js|mjs|css)|[._-]generated\.\w+|\.gen\.\w+|_gen\.(go|py|ts|js)|\.g\.(ts|dart|cs)|"
     r"\.designer\.cs|zz_generated\.\w+|_string\.go|_autogen\.\w+|_pb\.\w+|Grpc\.java|OuterClass\.java|[.\-](bundle|chunk)\.js|-[0-9a-f]{8,}\.(js|css|ts))$"
 )
-# The wordings by which tools mark their output and projects their copies.
+# Chosen here: wordings by which tools mark their output and projects their copies, and words that one of them always has.
 MADE = re.compile(
     r"(?i)(@generated\b|<auto-?generated|auto-?generated\s+(file|by|code|from)|code generated (by|from)|generated (by|at build time|from)\b.{0,60}(do not|don't|v?\d+\.\d|\.(proto|tpl|schema|idl|g4|yaml|json))|"
     r"(this|the) (file|code|class|module) (is|was|has been) (auto-?matically |machine-?)?generated\b|automatically generated|machine generated|do not (edit|modify)( this file)? by hand|generated (file|code|source)[ ,;:.\-]+(do not|don't)|"
@@ -43,9 +48,16 @@ COPIED = re.compile(
     r"this file is part of [\w ]+ v?\d|copyright \(c\) [\d\- ,]*[\w .]+\. redistribution and use|redistribution and use in source and binary forms|copied (unchanged|verbatim|from upstream)|"
     r"v?\d+\.\d+\.\d+ - .{3,80} - https?://\S+ - (released|licensed|distributed) under|vendored (from|copy)|^[\W_]*!\s*\w+ v\d+\.\d+|upstream (commit|version|revision|release)|(released|distributed|licensed) under (the )?(mit|bsd|apache|gpl|lgpl|mpl|isc)\b)"
 )
+STEMS = (
+    "generat", "generé", "généré", "genere", "generado", "edit", "modif", "bearbeiten", "ndern", "output of", "produced by", "produit", "machine", "sourcemappingurl", "written", "emitted",
+    "created", "compiled", "rendered", "derived", "changes will be", "source of truth", "erzeugt", "copyright", "(c)", "spdx", "imported", "part of", "redistribution", "copied", "licen",
+    "released", "distributed", "vendored", "upstream", "! ", "!",
+)
 OURS = re.compile(r"(?i)\b(our own|we (add|check|write|vendor|generate)|is hand-?written|kept by hand)\b")
 
 LANGUAGES = {"py": "py", "pyi": "py", "js": "js", "mjs": "js", "jsx": "js", "ts": "ts", "tsx": "ts", "go": "go", "java": "java", "c": "c", "h": "c", "sh": "sh", "bash": "sh"}
+#: other suffixes of source, without thresholds of their own
+SOURCE = frozenset("cpp cc cxx hpp hxx rs cs rb php kt kts swift scala sc lua m mm pl r dart ex exs hs cjs mts css scss".split())
 #: language: longest line, mean line, least white-space share, most numeric literals per word, longest encoded run
 LIMITS = {
     "py": (800, 140, 0.09, 0.55, 1200),
@@ -56,99 +68,101 @@ LIMITS = {
     "c": (800, 140, 0.09, 0.60, 1200),
     "sh": (1500, 200, 0.07, 0.60, 1200),
 }
-RUN = re.compile(r"[A-Za-z0-9+/=]{64,}|(?:\\x[0-9a-fA-F]{2}){24,}|(?:[0-9a-fA-F]{2}){40,}")
-NUMBER = re.compile(r"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w])")
-WORD = re.compile(r"[A-Za-z_]\w*")
-TABLE = re.compile(r"[\[({]*(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.eE]*)[\])}]*\s*,?\s*){3,}[\])};]*")
-GIVES = re.compile(r"(?m)\breturn\b|=>")
-SHAPE = re.compile(r"\d+|[A-Za-z_]\w*")
+RUN = re.compile(rb"[A-Za-z0-9+/=]{64,}|(?:\\x[0-9a-fA-F]{2}){24,}|(?:[0-9a-fA-F]{2}){40,}")
+NUMBER = re.compile(rb"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w])")
+WORD = re.compile(rb"[A-Za-z_]\w*")
+TABLE = re.compile(rb"[\[({]*(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.eE]*)[\])}]*\s*,?\s*){3,}[\])};]*")
+GIVES = re.compile(rb"(?m)\breturn\b|=>")
+COMMENT = re.compile(r"(?m)^[ \t\ufeff]*(?:#|//|/\*|\*|<!--|\"\"\"|'''|;|--).*")
+COUNTS = ("n_bytes", "n_lines", "max_line", "white", "alnum")
 STATS = ("lines", "max_line", "mean_line", "white_share", "alnum_share", "number_share", "encoded_run", "encoded_share", "repeat_share", "literal_share", "accessor_share")
 
+_WHITE = np.zeros(256, bool)
+_WHITE[[9, 10, 11, 12, 13, 32]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+# the shape of a line: words as w, numbers as 0
+_SHAPES = bytes(48 if 48 <= c <= 57 else 119 if 65 <= c <= 90 or 97 <= c <= 122 or c == 95 or c > 127 else c for c in range(256))
+_WORDS, _NUMBERS = re.compile(rb"w[w0]+"), re.compile(rb"00+")
 
-def statistics(text: str) -> dict[str, float]:
-    """The layout statistics of one text."""
-    n = len(text)
-    lines = [x for x in text.splitlines() if x.strip()]
-    if not n or not lines:
+
+def counts(raw: bytes) -> dict[str, int]:
+    """Bytes, lines (parted by line feeds), the longest line without its end, white and alphanumeric bytes."""
+    at = np.frombuffer(raw, np.uint8)
+    each = np.bincount(at, minlength=256)
+    ends = np.flatnonzero(at == 10)
+    lines = np.diff(np.concatenate([[-1], ends, [len(at)]])) - 1
+    return dict(zip(COUNTS, (len(raw), len(lines), int(lines.max()), int(each[_WHITE].sum()), int(each[_ALNUM].sum())), strict=True))
+
+
+def statistics(raw: bytes) -> dict[str, float]:
+    """The layout statistics of one file."""
+    lines = [x for x in map(bytes.strip, raw.splitlines()) if x]
+    if not lines:
         return dict.fromkeys(STATS, 0.0)
-    sizes = [len(x) for x in lines]
-    white = sum(map(str.isspace, text))
-    alnum = sum(map(str.isalnum, text))
-    runs = [m.end() - m.start() for m in RUN.finditer(text)]
-    numbers = len(NUMBER.findall(text))
-    words = len(WORD.findall(text))
-    literal = sum(len(x) for x in lines if TABLE.fullmatch(x.strip()))
-    shapes: dict[str, int] = {}
-    for x in lines:
-        s = SHAPE.sub(lambda m: "0" if m.group(0)[0].isdigit() else "w", x.strip())
-        if len(s) > 6:
-            shapes[s] = shapes.get(s, 0) + 1
+    n, sizes = len(raw), [len(x.rstrip()) for x in raw.splitlines() if x.strip()]
+    each = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    runs = [m.end() - m.start() for m in RUN.finditer(raw)]
+    numbers, words = len(NUMBER.findall(raw)), len(WORD.findall(raw))
+    literal = sum(len(x) for x in lines if x[0] in b"[({+-0123456789" and TABLE.fullmatch(x))
+    shapes = Counter(x for x in _NUMBERS.sub(b"0", _WORDS.sub(b"w", b"\n".join(lines).translate(_SHAPES))).split(b"\n") if len(x) > 6)
     kept = sum(shapes.values())
-    common = sorted(shapes.values(), reverse=True)[:2]
+    common = sum(c for _, c in shapes.most_common(2))
     return {
         "lines": float(len(lines)),
         "max_line": float(max(sizes)),
         "mean_line": sum(sizes) / len(sizes),
-        "white_share": white / n,
-        "alnum_share": alnum / n,
+        "white_share": int(each[_WHITE].sum()) / n,
+        "alnum_share": int(each[_ALNUM].sum()) / n,
         "number_share": numbers / max(1, numbers + words),
         "encoded_run": float(max(runs, default=0)),
         "encoded_share": sum(runs) / n,
         "repeat_share": 1 - len(shapes) / kept if kept else 0.0,
         "literal_share": literal / sum(sizes),
-        "accessor_share": sum(common) / kept if kept and len(GIVES.findall(text)) > 0.15 * len(lines) else 0.0,
+        "accessor_share": common / kept if kept and len(GIVES.findall(raw)) > 0.15 * len(lines) else 0.0,
     }
 
 
-def _header(text: str) -> list[str]:
-    """The lines above the first line of code, however many, and the first 30 in any case."""
-    lines, closing, n = text.splitlines(), "", 0
-    for line in lines:
-        s = line.lstrip("\ufeff \t")
-        if closing:
-            closing = "" if closing in s else closing
-        elif s:
-            opened = next((o for o in BLOCKS if s.startswith(o)), "")
-            if opened:
-                closing = "" if BLOCKS[opened] in s[len(opened) :] else BLOCKS[opened]
-            elif not s.startswith(("#", "//", "*", ";", "--")):
-                break
-        n += 1
-    least = text[:4000].splitlines()[:30]
-    return lines[:n] if n > len(least) else least
-
-
-BLOCKS = {"/*": "*/", '"""': '"""', "'''": "'''", "<!--": "-->"}
+def _said(text: str) -> str:
+    """What the comments of a file say about it."""
+    low = text.lower()
+    stems = [w for w in STEMS if w in low]
+    if not stems:
+        return ""
+    for m in COMMENT.finditer(text):
+        s = m.group(0).lstrip("\ufeff \t")
+        at = s.lower()
+        if any(w in at for w in stems) and not OURS.search(s):
+            if MADE.search(s):
+                return "generated"
+            if COPIED.search(s):
+                return "vendored"
+    return ""
 
 
-def verdict(path: str | None, text: str) -> str:
+def verdict(path: str | None, raw: bytes, st: dict[str, float] | None = None) -> str:
     """'' for hand-written source, else generated, minified, vendored or data."""
     parts = (path or "").split("/")
     base = parts[-1]
-    lang = LANGUAGES.get(base.rsplit(".", 1)[-1].lower() if "." in base else "")
-    if lang is None:
+    suffix = base.rsplit(".", 1)[-1].lower() if "." in base else ""
+    lang = LANGUAGES.get(suffix)
+    if lang is None and suffix not in SOURCE:
         return ""
     folders = {x.lower() for x in parts[:-1]}
     if folders & VENDORED or re.search(r"(?i)(^|/)contrib/ext/", path or ""):
         return "vendored"
     if folders & GENERATED or NAMES.search(base):
         return "minified" if ".min." in base else "generated"
-    if not text.strip():
+    if not raw.strip():
         return ""
+    text = raw.decode("utf-8", "replace")
     if "\0" in text or sum(map(text.count, "\ufffd\x01\x02\x03\x04\x05\x06")) > 0.05 * len(text):
         return "data"  # bytes of no text
-    if re.match(r"""\s*["']use strict["'];?\s*Object\.defineProperty\(exports, ["']__esModule["']""", text[:400]):
+    if re.match(r"""\s*["']use strict["'];?\s*Object\.defineProperty\(exports, ["']__esModule["']""", text):
         return "generated"
-    head = _header(text)
-    for line in [*head, *(text[-1000:].splitlines()[-4:] if len(text) > 4000 or len(head) > 8 else ())]:
-        s = line.lstrip("﻿ \t")
-        if not s or OURS.search(s) or not s.startswith(("#", "//", "/*", "*", "<!--", '"""', "'''", ";", "--")):
-            continue
-        if MADE.search(s):
-            return "generated"
-        if COPIED.search(s):
-            return "vendored"
-    st = statistics(text)
+    if (said := _said(text)) or lang is None:
+        return said
+    st = st or statistics(raw)
     longest, mean, white, numeric, run = LIMITS[lang]
     if st["encoded_share"] > 0.5 or st["encoded_run"] > run and st["encoded_share"] > 0.25:
         return "data"
@@ -171,25 +185,35 @@ def _long_code(text: str, longest: int) -> bool:
     return code > 0.08 * sum(map(len, long))
 
 
-def classify(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """One row per distinct path: ``path, verdict`` and the statistics behind it."""
+def _mapped(df: DataFrame, path: str, content: str, names: tuple[str, ...], ddl: str, of) -> DataFrame:
     slim = df.where(F.col(path).isNotNull()).select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content"))
-    fields = [pa.field("path", pa.string()), pa.field("verdict", pa.string()), *(pa.field(s, pa.float64()) for s in STATS)]
-    schema = pa.schema(fields)
+    kinds = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64()}
+    types = [kinds[x.split()[1]] for x in ddl.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[] for _ in fields]
-            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                text = (raw or b"").decode("utf-8", "replace")
-                st = statistics(text)
-                for i, v in enumerate((p, verdict(p, text), *(st[s] for s in STATS))):
-                    out[i].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, fields, strict=True)], schema=schema)
-
-    ddl = "path string, verdict string, " + ", ".join(f"{s} double" for s in STATS)
+            rows = [of(p, raw or b"") for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
+
     return slim.mapInArrow(run, ddl).dropDuplicates(["path"])
 
 
+def measured(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """One row per distinct path with the plain counts (``COUNTS``) that the shares are made of."""
+    return _mapped(df, path, content, ("path", *COUNTS), "path string, " + ", ".join(f"{c} bigint" for c in COUNTS), lambda p, raw: (p, *counts(raw).values()))
+
+
+def classify(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """One row per distinct path: ``path, verdict`` and the statistics behind it."""
+
+    def of(p: str, raw: bytes) -> tuple:
+        st = statistics(raw)
+        return p, verdict(p, raw, st), *st.values()
+
+    return _mapped(df, path, content, ("path", "verdict", *STATS), "path string, verdict string, " + ", ".join(f"{s} double" for s in STATS), of)
+
+
 def not_handwritten(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    return classify(df, path, content).where("verdict <> ''").select("path")
+    """Paths of the files that are not hand-written; statistics are taken where place and words leave it open."""
+    return _mapped(df, path, content, ("path", "verdict"), "path string, verdict string", lambda p, raw: (p, verdict(p, raw))).where("verdict <> ''").select("path")

@@ -33,10 +33,15 @@ TABLE = "NAMES = {\n" + "".join(f'    "{w}": "{w} kept in order",\n' for w in ("
         ("a/b.yaml", "x: 1\n", ""),
         ("a/b.js", "", ""),
         (None, CODE, ""),
+        ("vendor/x.rs", "fn main() {}\n", "vendored"),
+        ("vendor/x.yaml", "x: 1\n", ""),
+        ("src/x.rb", "# Code generated by apiweave v1.2.3. DO NOT EDIT.\n", "generated"),
+        ("a/b.py", CODE * 9 + "# Code generated by apiweave v1.2.3. DO NOT EDIT.\n" + CODE * 9, "generated"),
+        ("a/b.py", CODE * 400 + "# Copied unchanged from upstream\n" + CODE * 400, "vendored"),
     ],
 )
 def test_verdict(path, text, want):
-    assert layout.verdict(path, text) == want
+    assert layout.verdict(path, text.encode()) == want
 
 
 def test_tables(spark):
@@ -48,7 +53,7 @@ def test_tables(spark):
 
 
 def test_statistics_of_a_long_line():
-    st = layout.statistics("a" * 1_000_000)
+    st = layout.statistics(b"a" * 1_000_000)
     assert st["max_line"] == 1_000_000 and st["white_share"] == 0
 
 
@@ -58,5 +63,10 @@ def test_marker_below_a_long_preamble(mark, block):
     lines = [f" * Clause {i} of the terms under which the parts of this work may be used." for i in range(90)]
     head = "/*\n" + "\n".join(lines) + f"\n * {mark}\n */\n" if block else "".join(f"//{x[2:]}\n" for x in [*lines, f" * {mark}"])
     code = "".join(f"int add_{k}(int first, int second) {{\n    return first + second * {k};\n}}\n" for k in range(4))
-    assert layout.verdict("src/add.c", head + code)
-    assert layout.verdict("src/add.c", head.replace(mark, "Kept in order.") + code) == ""
+    assert layout.verdict("src/add.c", (head + code).encode())
+    assert layout.verdict("src/add.c", (head.replace(mark, "Kept in order.") + code).encode()) == ""
+
+
+def test_counts_are_bytes():
+    assert layout.counts("é a1\n\tb\n".encode()) == {"n_bytes": 9, "n_lines": 3, "max_line": 5, "white": 4, "alnum": 5}
+    assert layout.counts(b"") == {"n_bytes": 0, "n_lines": 1, "max_line": 0, "white": 0, "alnum": 0}
