@@ -1,9 +1,11 @@
 """Functions and methods of source files as chunks.
 
 Python is read by its own parser; other languages by a scan of their text without strings and
-comments for the forms of function and class heads, with brackets matched to find a body's end.
-One chunk comes out per function; functions inside functions belong to the outer one; class names
-extend the dotted symbol. A file that cannot be read gives no rows and no failure.
+comments for the forms of function and class heads, with brackets (in Ruby and Lua, ``end``) matched to find
+a body's end. One chunk comes out per function; functions inside functions belong to the outer one; class
+names extend the dotted symbol. Arrow functions, function expressions and literals outside of other functions are chunks
+named ``<anonymous>``, as are the blocks of methods for a Rust type. A file that cannot be read gives no rows and
+no failure.
 """
 
 from __future__ import annotations
@@ -17,33 +19,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basalt.functions import code as quiet
 from basalt.functions import ids, text
 
-_BLANK = re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`""")
-_SHELL_BLANK = re.compile(r"""(?m)(?<![\w$])#[^\n]*|"(?:[^"\\]|\\[\s\S])*"|'[^']*'""")
-_WORD = r"[A-Za-z_$][\w$]*"
+ANONYMOUS = "<anonymous>"
+_NAME = r"[A-Za-z_$][\w$]*"
+_ARGS = r"\((?:[^(){};]|\((?:[^(){};]|\([^(){};]*\))*\))*\)"
+_MODS = r"(?:(?:public|private|protected|internal|static|final|abstract|synchronized|native|default|override|virtual|async|sealed|partial|extern|unsafe|readonly|open|inline|suspend|operator|infix|tailrec|mutating|fileprivate|implicit|lazy)\s+)*"
+_TYPED = rf"(?m)^[ \t]*(?:@[\w.]+(?:\([^)]*\))?\s+)*{_MODS}(?:<[^>(){{}};]*>\s*)?(?:[\w.<>\[\],?*&:]+[ \t]+(?:[\w.<>\[\],?*&:]+[ \t]+)*)?[*&]*((?:~|operator\S+|[A-Za-z_]\w*::)*~?[A-Za-z_]\w*)\s*{_ARGS}"
+#: by family: the forms of heads (the group, if there is one, is the name), where the body opens, and classes
 _HEADS = {
-    "js": re.compile(rf"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*({_WORD})\s*(?:<[^>(]*>)?\(|^[ \t]+(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*\*?({_WORD})\s*(?:<[^>(]*>)?\([^;{{}}]*\)\s*(?::[^;{{}}=]+)?\{{"),
-    "go": re.compile(rf"(?m)^func\s+(?:\([^)]*\)\s*)?({_WORD})\s*(?:\[[^\]]*\])?\("),
-    "java": re.compile(rf"(?m)^[ \t]+(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*(?:<[^>]*>\s*)?[\w.<>\[\], ?]+\s+({_WORD})\s*\([^;{{}}]*\)\s*(?:throws\s+[\w.,\s]+)?\{{"),
-    "c": re.compile(rf"(?m)^(?:[A-Za-z_][\w \t*]*?[\s*])({_WORD})\s*\([^;{{}}]*\)\s*\{{"),
-    "sh": re.compile(r"(?m)^[ \t]*(?:function\s+)?([A-Za-z_][\w\-]*)\s*\(\)\s*\{"),
+    "script": (
+        rf"(?m)^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<a>{_NAME})\s*(?:<[^>(]*>)?\(",
+        rf"(?m)^[ \t]*(?:(?:public|private|protected|static|async|readonly|get|set|override)\s+)*\*?(?P<m>#?{_NAME})\s*(?:<[^>(]*>)?{_ARGS}\s*(?::[^;{{}}=]+)?\{{",
+        r"(?<![\w$.])(?:async\s+)?function\s*\*?\s*\(",
+        rf"(?<![\w$.])(?:async\s+)?(?:{_ARGS}(?:\s*:\s*[^=;{{}}]+?)?|{_NAME})\s*=>",
+    ),
+    "go": (r"(?m)^func\s+(?:\([^)]*\)\s*)?(?P<a>[A-Za-z_]\w*)\s*(?:\[[^\]]*\])?\(", r"(?<![\w.])func\s*\("),
+    "java": (_TYPED.replace("((?:~", "(?P<a>(?:~") + r"\s*(?:throws\s+[\w.,\s]+)?\{",),
+    "c": (_TYPED.replace("((?:~", "(?P<a>(?:~") + r"\s*(?:const|noexcept|override|final|\s)*(?::[^;{}]*)?\{",),
+    "cs": (_TYPED.replace("((?:~", "(?P<a>(?:~") + r"\s*(?:where\s[^{;]*|:\s*(?:base|this)\s*\([^;{}]*\)\s*)?(?:\{|=>)",),
+    "rs": (rf"(?m)^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|default|extern)\s+)*fn\s+(?P<a>[A-Za-z_]\w*)\s*(?:<[^(]*>)?{_ARGS}[^;{{}}]*\{{",),
+    "php": (r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(?P<a>[A-Za-z_]\w*)\s*\([^;{}]*\)[^;{}]*\{",),
+    "kt": (rf"(?m)^[ \t]*{_MODS}fun\s+(?:<[^>]*>\s*)?(?:[\w.<>?]+\.)?(?P<a>[A-Za-z_]\w*)\s*{_ARGS}[^;{{}}=\n]*(?:\{{|=)",),
+    "swift": (rf"(?m)^[ \t]*(?:@\w+\s+)*{_MODS}func\s+(?P<a>[A-Za-z_]\w*)\s*(?:<[^>]*>)?{_ARGS}[^;{{}}\n]*\{{",),
+    "scala": (rf"(?m)^[ \t]*{_MODS}def\s+(?P<a>[A-Za-z_]\w*)\s*(?:\[[^\]]*\])?(?:{_ARGS})*\s*(?::[^=\n{{]+)?(?:=\s*\{{|\{{|=)",),
+    "sh": (r"(?m)^[ \t]*(?:function\s+(?P<a>[A-Za-z_][\w\-]*)\s*(?:\(\))?|(?P<b>[A-Za-z_][\w\-]*)\s*\(\))\s*\{",),
+    "rb": (r"(?m)^[ \t]*(?:(?:private|public|protected)\s+)?def\s+(?:self\.|\w+\.)?(?P<a>[A-Za-z_]\w*[?!=]?)",),
+    "lua": (r"(?m)^[ \t]*(?:local\s+)?function\s+(?P<a>[A-Za-z_][\w.:]*)\s*\(",),
+}
+_HEADS = {k: [re.compile(x) for x in v] for k, v in _HEADS.items()}
+_CLASS = {
+    "script": rf"(?m)^[ \t]*(?:(?:export|default|abstract)\s+)*class\s+({_NAME})[^;{{]*\{{",
+    "java": rf"(?m)^[ \t]*(?:@[\w.]+(?:\([^)]*\))?\s+)*{_MODS}(?:class|interface)\s+([A-Za-z_]\w*)[^;{{]*\{{",
+    "c": r"(?m)^[ \t]*(?:template\s*<[^{;]*>\s*)?(?:class|struct)\s+([A-Za-z_]\w*)[^;{()=]*\{",
+    "rs": r"(?m)^[ \t]*(?:unsafe\s+)?impl\b()[^;{]*\{",
+    "php": r"(?m)^[ \t]*(?:(?:abstract|final)\s+)*(?:class|interface)\s+([A-Za-z_]\w*)[^;{]*\{",
+}
+_CLASS = {k: re.compile(v) for k, v in ({**_CLASS, "cs": _CLASS["java"], "kt": _CLASS["java"], "swift": _CLASS["java"].replace("class|interface", "class|struct|protocol"), "scala": _CLASS["java"]}).items()}
+# Extensions that give chunks, by the family that reads them.
+FAMILY = {
+    "js": "script", "jsx": "script", "mjs": "script", "cjs": "script", "ts": "script", "mts": "script", "tsx": "script", "go": "go", "rs": "rs", "java": "java", "c": "c", "h": "c", "cpp": "c", "cc": "c", "cxx": "c",
+    "hpp": "c", "hxx": "c", "cs": "cs", "rb": "rb", "php": "php", "kt": "kt", "kts": "kt", "swift": "swift", "scala": "scala", "sc": "scala", "sh": "sh", "bash": "sh", "lua": "lua",
+}
+LANG = {
+    "py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "ts": "typescript", "mts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "java": "java", "c": "c", "h": "c",
+    "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hxx": "cpp", "cs": "csharp", "rb": "ruby", "php": "php", "kt": "kotlin", "kts": "kotlin", "swift": "swift", "scala": "scala", "sc": "scala", "sh": "bash", "bash": "bash", "lua": "lua",
+}
+_QUIET = {ext: re.compile(rule) for name, rule in quiet.QUIET.items() for ext in quiet.FAMILIES[name]}
+_SHELL = re.compile(r"""(?m)(?<![\w$])#[^\n]*|"(?:[^"\\]|\\[\s\S])*"|'[^']*'""")
+_NOT_NAMES = frozenset("if for while switch catch return function else do try new foreach using lock fixed sizeof typeof elseif when match super this".split())
+_BRACE = re.compile(r"[{}]")
+_BLOCK = {
+    "rb": re.compile(r"(?m)^[ \t]*(?:class|module|def|if|unless|case|while|until|for|begin)\b|(?<==)[ \t]*(?:if|case|begin|unless)\b|\bdo\b(?=[ \t]*(?:\|[^|]*\|)?[ \t]*$)|\bend\b"),
+    "lua": re.compile(r"\b(?:function|if|do|repeat)\b|\b(?:end|until)\b"),
 }
-_CLASS = re.compile(rf"(?m)^[ \t]*(?:(?:export|default|public|private|protected|abstract|final|static)\s+)*(?:class|interface|enum)\s+({_WORD})[^;{{]*\{{")
-FAMILY = {"js": "js", "jsx": "js", "mjs": "js", "ts": "js", "tsx": "js", "go": "go", "java": "java", "c": "c", "h": "c", "sh": "sh", "bash": "sh"}
-LANG = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "java": "java", "c": "c", "h": "c", "sh": "bash", "bash": "bash"}
-_NOT_NAMES = frozenset("if for while switch catch return function else do try new".split())
 
 
 def _close(code: str, at: int) -> int:
     depth = 0
-    for m in re.compile(r"[{}]").finditer(code, at):
+    for m in _BRACE.finditer(code, at):
         depth += 1 if m.group(0) == "{" else -1
         if depth == 0:
             return m.end()
     return len(code)
 
 
+def _end(code: str, at: int, family: str) -> int:
+    """Behind the ``end`` of the block whose opening word is at ``at``."""
+    depth = 0
+    for m in _BLOCK[family].finditer(code, at):
+        depth += -1 if m.group(0).strip() in ("end", "until") else 1
+        if depth == 0:
+            return m.end()
+    return len(code)
+
+
+def _expression(code: str, at: int) -> int:
+    """The end of an expression: before a comma, a semicolon, a closing bracket or a line's end outside of brackets."""
+    depth = 0
+    while at < len(code) and code[at] in " \t\r\n":
+        at += 1
+    for i in range(at, len(code)):
+        c = code[i]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return i
+        elif depth == 0 and c in ",;\n":
+            return i
+    return len(code)
+
+
 def functions(source: str, ext: str) -> list[tuple[str, str, int, int]]:
     """(dotted name below the module, kind, start, end) in characters, in order of text."""
     if ext == "py":
@@ -51,21 +120,35 @@ def functions(source: str, ext: str) -> list[tuple[str, str, int, int]]:
     family = FAMILY.get(ext)
     if family is None:
         return []
-    code = (_SHELL_BLANK if family == "sh" else _BLANK).sub(lambda m: re.sub(r"[^\n]", " ", m.group(0)), source)
-    classes = [(m.group(1), m.start(), _close(code, code.index("{", m.start()))) for m in _CLASS.finditer(code)] if family in ("js", "java") else []
+    blank = _SHELL if family == "sh" else _QUIET[ext]
+    code = blank.sub(lambda m: re.sub(r"[^\n]", " ", m.group(0)), source)
+    classes = [(m.group(1) or ANONYMOUS, m.start(), _close(code, m.end() - 1)) for m in _CLASS[family].finditer(code)] if family in _CLASS else []
+    heads = sorted((m.start() + len(m.group(0)) - len(m.group(0).lstrip()), n, m) for n, h in enumerate(_HEADS[family]) for m in h.finditer(code))
     out, done = [], 0
-    for m in _HEADS[family].finditer(code):
-        name = next(x for x in m.groups() if x)
-        if m.start() < done or name in _NOT_NAMES:
-            continue
-        brace = code.find("{", m.end() - 1)
-        if brace < 0:
+    for start, n, m in heads:
+        named = next((x for x in m.groups() if x), None)
+        name = named or ANONYMOUS
+        if start < done or name in _NOT_NAMES:
             continue
-        end = _close(code, brace)
-        start = m.start() + len(m.group(0)) - len(m.group(0).lstrip())
         owners = [c for c, a, z in classes if a < start < z]
-        if family == "js" and m.group(2) and not owners:
+        if family == "script" and n == 1 and not owners:
             continue
+        if family in _BLOCK:
+            end = _end(code, m.start(), family) if family == "rb" else _end(code, code.index("function", start), family)
+        else:
+            if m.group(0).endswith("=>") or m.group(0).endswith("="):
+                rest = code[m.end() :]
+                brace = m.end() + len(rest) - len(rest.lstrip())
+                if not code.startswith("{", brace):
+                    end = _expression(code, m.end())
+                    out.append((".".join([*owners, name]), "method" if owners else "function", start, end))
+                    done = end
+                    continue
+            else:
+                brace = code.find("{", m.end() - 1)
+            if brace < 0:
+                continue
+            end = _close(code, brace)
         out.append((".".join([*owners, name]), "method" if owners else "function", start, end))
         done = end
     return out
@@ -105,9 +188,11 @@ CHUNK = "path string, symbol string, kind string, lang string, start_line int, e
 
 
 def extract(source_files: DataFrame) -> DataFrame:
-    """Chunks of every file with ids, hashes and signatures; of a symbol met twice in a file the last."""
-    slim = source_files.where("path is not null and content is not null").select("path", "content").dropDuplicates(["path"])
+    """Chunks of every file with ids, hashes and signatures; of a symbol met twice in a file the last.
 
+    A chunk's content is its text without separator lines. Files given twice are read twice and their chunks
+    dropped by the same window, so no file is shuffled."""
+    slim = source_files.where("path is not null and content is not null").select("path", "content")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
@@ -125,7 +210,7 @@ def extract(source_files: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in CHUNK.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (s, s, s, s, i, i, i, i, s), strict=True)], names=names)
 
-    found = slim.mapInArrow(run, CHUNK)
+    found = slim.mapInArrow(run, CHUNK).withColumn("content", text.strip_noise(F.col("content")))
     last = found.withColumn("n", F.row_number().over(W.partitionBy("path", "symbol").orderBy(F.desc("start_byte")))).where("n = 1").drop("n")
     return last.select(
         ids.chunk_id(F.col("path"), F.col("symbol")).alias("id"),

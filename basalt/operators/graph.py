@@ -13,22 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt import schema
-from basalt.functions import ids
+from basalt.functions import code, ids, paths
+from basalt.operators.search import symbol_match
 from basalt.session import stage
 
-CALL = r"([A-Za-z_][A-Za-z0-9_]*)\("
-
 
 def call_sites(chunks: DataFrame) -> DataFrame:
-    """``group_id, src_id, callee``: distinct names that a chunk's text calls."""
-    names = F.array_distinct(F.regexp_extract_all("content", F.lit(CALL), 1))
-    return chunks.where("content is not null").select("group_id", F.col("id").alias("src_id"), "symbol", "valid", F.explode(names).alias("callee"))
+    """``group_id, src_id, callee, n``: the names that a chunk's text calls, and how often."""
+    ext = paths.extension(F.col("path"))
+    sites = chunks.where("content is not null").select("group_id", F.col("id").alias("src_id"), F.explode(code.calls(F.col("content"), ext)).alias("callee"))
+    return sites.groupBy("group_id", "src_id", "callee").agg(F.count("*").alias("n"))
 
 
 def call_edges(chunks: DataFrame) -> DataFrame:
     """``group_id, src_id, dst_id``: a valid chunk calls a name that exactly one valid chunk of its
     group bears; a chunk does not call itself."""
-    sites = call_sites(chunks.where("valid")).select("group_id", "src_id", "callee").distinct()
+    sites = call_sites(chunks.where("valid")).select("group_id", "src_id", "callee")
     last = F.substring_index("symbol", ".", -1)
     owners = chunks.where("valid").select("group_id", last.alias("callee"), "id").groupBy("group_id", "callee").agg(F.min("id").alias("dst_id"), F.max("id").alias("other"))
     sole = owners.where("dst_id = other").drop("other")
@@ -76,6 +76,29 @@ def reach(edges: DataFrame, starts: DataFrame, chunks: DataFrame, depth: int, li
     return ok.orderBy("depth", "id").limit(limit) if limit else ok
 
 
+DETAILS = ("symbol", "path", "kind", "signature", "start_line", "end_line")
+
+
+def _around(chunks: DataFrame, edges: DataFrame, symbol: str, group_id: str, depth: int, backwards: bool) -> DataFrame:
+    mine = chunks.where((F.col("group_id") == group_id) & F.col("valid"))
+    starts = mine.where(symbol_match(F.col("symbol"), F.lit(symbol))).select("id")
+    # the group's chunks are the targets; what lies between them need not be valid
+    found = reach(edges.where(F.col("group_id") == group_id), starts, mine, depth, backwards=backwards)
+    return found.join(mine.select("id", *DETAILS).dropDuplicates(["id"]), "id").select("id", *DETAILS, "depth")
+
+
+def impact_of(chunks: DataFrame, edges: DataFrame, symbol: str, group_id: str, depth: int = 3) -> DataFrame:
+    """``id, symbol, path, kind, signature, start_line, end_line, depth``: the valid chunks of a group that
+    those of a symbol (itself, or the last part of a dotted one) reach by calls, nearest first up to the
+    reporting limit. An unknown symbol gives no rows."""
+    return _around(chunks, edges, symbol, group_id, depth, False)
+
+
+def callers_of(chunks: DataFrame, edges: DataFrame, symbol: str, group_id: str, depth: int = 1) -> DataFrame:
+    """The same for the chunks that call those of a symbol, at ``depth`` 1 directly."""
+    return _around(chunks, edges, symbol, group_id, depth, True)
+
+
 def neighbours(edges: DataFrame, files: DataFrame, path: str, backwards: bool = False, limit: int = schema.MAX_NEIGHBOURS) -> DataFrame:
     """``path, ext`` of the files that a file imports (``backwards``: that import it), by path."""
     here, there = ("dst_id", "src_id") if backwards else ("src_id", "dst_id")
@@ -94,6 +117,21 @@ def rebuild(edges: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame
     return purge(edges, changed).unionByName(fresh.select(*edges.columns)).distinct()
 
 
+def build(source_files: DataFrame, files: DataFrame, chunks: DataFrame, now: int) -> dict[str, DataFrame]:
+    """A whole project's graph: ``files`` (the file nodes, targets of imports included), ``imports``, ``calls``
+    and one row of ``counters`` (files, imports, calls_candidates, errors: files without content)."""
+    from basalt.operators import imports, upsert
+
+    read = source_files.where("path is not null").select("path", "content").dropDuplicates(["path"])
+    known = files.where("path is not null").select("group_id", "path").distinct()
+    edges = stage(import_edges(imports.extract(read.where("content is not null")), files), "imports")
+    incoming = read.select("path", paths.extension(F.col("path")).alias("ext"), ids.file_id(F.col("path")).alias("id")).join(known, "path", "left")
+    sites = call_sites(chunks.where("valid"))
+    one = read.agg(F.count_if(F.col("content").isNotNull()).alias("files"), F.count_if(F.col("content").isNull()).alias("errors"))
+    counters = one.crossJoin(F.broadcast(edges.agg(F.count("*").alias("imports")))).crossJoin(F.broadcast(sites.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("calls_candidates"))))
+    return {"files": upsert.files(files, incoming, now), "imports": edges, "calls": call_edges(chunks), "counters": counters.select("files", "imports", "calls_candidates", "errors")}
+
+
 def status(files: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
     """``what, n``: files, call edges and import edges."""
     out = None

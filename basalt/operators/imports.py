@@ -1,146 +1,119 @@
 """Import specifiers and the paths they may stand for.
 
-A specifier is extracted from a file's text by its language's rule; candidates are generated as rows
-with an ordinal, so that resolving is an equality join. Languages whose imports name packages and not
+A specifier is extracted from a file's text, without comments and long strings, by its language's rule;
+candidates are generated as rows with an ordinal, so that resolving is an equality join. Both are column
+expressions: no text leaves the JVM. Languages whose imports name packages and not
 files (Go, Java, C#, Kotlin, Swift, Scala, Lua, Haskell, Elixir) give specifiers but no candidates.
 """
 
 from __future__ import annotations
 
-import ast
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_JS = re.compile(r"""(?m)^\s*(?:import|export)\b[^;'"\n]*?(?:from\s*)?["']([^"'\n]+)["']|\brequire\(\s*["']([^"'\n]+)["']\s*\)""")
-_LINE = {
-    "c": re.compile(r'(?m)^[ \t]*#[ \t]*include[ \t]*"([^"\n]+)"'),
-    "go": re.compile(r'(?m)^\s*import\s+(?:[\w.]+\s+)?"([^"\n]+)"|^\s+(?:[\w.]+\s+)?"([^"\n]+)"\s*$'),
-    "java": re.compile(r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)"),
-    "rs": re.compile(r"(?m)^\s*(?:pub\s+)?use\s+((?:crate|super|self)::[\w:]+)"),
-    "rb": re.compile(r"""(?m)^\s*require(?:_relative)?\s*\(?\s*["']([^"'\n]+)["']"""),
-    "php": re.compile(r"""(?m)\b(?:include|require)(?:_once)?\s*\(?\s*["']([^"'\n]+)["']"""),
-    "sh": re.compile(r"(?m)^\s*(?:source|\.)\s+[\"']?([^\s\"';&|]+)"),
-    "cs": re.compile(r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;"),
-    "kt": re.compile(r"(?m)^\s*import\s+([\w.]+)"),
-    "swift": re.compile(r"(?m)^\s*import\s+(\w[\w.]*)"),
-    "scala": re.compile(r"(?m)^\s*import\s+([\w.]+)"),
-    "lua": re.compile(r"""\brequire\s*\(?\s*["']([^"'\n]+)["']"""),
-    "hs": re.compile(r"(?m)^import\s+(?:qualified\s+)?([\w.]+)"),
-    "ex": re.compile(r"(?m)^\s*(?:import|alias|use|require)\s+([A-Z][\w.]*)"),
+from basalt.functions import paths
+
+_SHORT = r"""("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+#: comments and long strings; a short string is kept, as it may be the specifier
+_NOISE = {
+    "py": r'"""[\s\S]*?"""|' + r"'''[\s\S]*?'''|#[^\n]*|" + _SHORT,
+    "js": r"//[^\n]*|/\*[\s\S]*?\*/|`(?:[^`\\]|\\[\s\S])*+`|" + _SHORT,
+    "php": r"//[^\n]*|#[^\n]*|/\*[\s\S]*?\*/|" + _SHORT,
+    "hash": r"(?m)(?:^|(?<=\s))#[^\n]*|" + _SHORT,
+    "dash": r"--[^\n]*|" + _SHORT,
+    "c": r"//[^\n]*|/\*[\s\S]*?\*/|" + '("(?:[^"\\\\\\n]|\\\\.)*+")',
 }
-#: extension: rule
-RULES = {
+#: family: comments, and patterns of which each one's group is a specifier
+RULES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "py": ("py", (r"(?m)^import[ \t]+([\w.][^\n;]*)", r"(?m)^from[ \t]+([.\w]+)[ \t]+import\b")),
+    "js": ("js", (r"""(?m)^\s*(?:import|export)\b[^;'"\n]*?(?:from\s*)?["']([^"'\n]+)["']""", r"""\brequire\(\s*["']([^"'\n]+)["']\s*\)""")),
+    "c": ("c", (r'(?m)^[ \t]*#[ \t]*include[ \t]*"([^"\n]+)"',)),
+    "go": ("c", (r'(?m)^\s*import\s+(?:[\w.]+\s+)?"([^"\n]+)"', r'(?m)^\s+(?:[\w.]+\s+)?"([^"\n]+)"\s*$')),
+    "java": ("c", (r"(?m)^\s*import\s+(?:static\s+)?([\w.]+)",)),
+    "rs": ("c", (r"(?m)^\s*(?:pub\s+)?use\s+((?:crate|super|self)::[\w:]+)",)),
+    "rb": ("hash", (r"""(?m)^\s*(require(?:_relative)?\s*\(?\s*["'][^"'\n]+)["']""",)),
+    "php": ("php", (r"""\b(?:include|require)(?:_once)?\s*\(?\s*["']([^"'\n]+)["']""",)),
+    "sh": ("hash", (r"(?m)^\s*(?:source|\.)\s+[\"']?([^\s\"';&|]+)",)),
+    "cs": ("c", (r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;",)),
+    "kt": ("c", (r"(?m)^\s*import\s+([\w.]+)",)),
+    "swift": ("c", (r"(?m)^\s*import\s+(\w[\w.]*)",)),
+    "scala": ("c", (r"(?m)^\s*import\s+([\w.]+)",)),
+    "lua": ("dash", (r"""\brequire\s*\(?\s*["']([^"'\n]+)["']""",)),
+    "hs": ("dash", (r"(?m)^import\s+(?:qualified\s+)?([\w.]+)",)),
+    "ex": ("hash", (r"(?m)^\s*(?:import|alias|use|require)\s+([A-Z][\w.]*)",)),
+}
+#: extension: family
+FAMILY = {
     "py": "py", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "js", "tsx": "js", "mts": "js",
     "c": "c", "h": "c", "cpp": "c", "cc": "c", "cxx": "c", "hpp": "c", "hxx": "c", "rs": "rs", "rb": "rb", "php": "php", "sh": "sh", "bash": "sh",
     "go": "go", "java": "java", "cs": "cs", "kt": "kt", "kts": "kt", "swift": "swift", "scala": "scala", "sc": "scala", "lua": "lua", "hs": "hs", "lhs": "hs", "ex": "ex", "exs": "ex",
 }
 
 
-def _python(text: str) -> list[tuple[str, bool]]:
-    """Top-level imports; a file that does not parse is read line by line."""
-    try:
-        out = []
-        for node in ast.parse(text).body:
-            if isinstance(node, ast.Import):
-                out += [(a.name, False) for a in node.names]
-            elif isinstance(node, ast.ImportFrom):
-                out.append(("." * node.level + (node.module or ""), node.level > 0))
-        return out
-    except (SyntaxError, ValueError, RecursionError):
-        return [(m.group(1) or m.group(2), (m.group(1) or m.group(2)).startswith(".")) for m in re.finditer(r"(?m)^(?:from\s+([.\w]+)\s+import\b|import\s+([\w.]+))", text)]
-
-
-def specifiers(text: str, ext: str) -> list[tuple[str, bool]]:
-    """(raw, relative) of every import of a text, in order, repeats kept."""
-    rule = RULES.get(ext)
-    if rule is None:
-        return []
-    if rule == "py":
-        return _python(text)
-    pattern = _JS if rule == "js" else _LINE[rule]
-    out = []
-    for m in pattern.finditer(text):
-        raw = next((x for x in m.groups() if x), None)
-        if raw:
-            out.append((raw, raw.startswith(("./", "../")) or rule in ("c", "sh", "php") or rule == "rb" and "require_relative" in m.group(0)))
-    return out
+def _by_family(ext: Column, of: dict[str, Column], other: Column) -> Column:
+    exts = {f: [e for e, g in FAMILY.items() if g == f] for f in of}
+    first, *rest = of
+    return reduce(lambda c, f: c.when(ext.isin(*exts[f]), of[f]), rest, F.when(ext.isin(*exts[first]), of[first])).otherwise(other)
+
+
+def specifiers(body: Column, ext: Column) -> Column:
+    """Specifiers of a text in the order of its language's patterns, each once; none for other suffixes. Python's
+    top-level statements count; a name list gives one each; of Ruby's the keyword stays before the path."""
+
+    def found(name: str) -> Column:
+        noise, patterns = RULES[name]
+        # the group of a short string is put back, a comment has none
+        clean = F.regexp_replace(body, _NOISE[noise], "$1")
+        lists = [F.regexp_extract_all(clean, F.lit(p), 1) for p in patterns]
+        if name == "py":
+            lists[0] = F.transform(F.flatten(F.transform(lists[0], lambda x: F.split(x, ",", -1))), lambda x: F.regexp_extract(x, r"([\w.]+)", 1))
+        return F.array_distinct(F.filter(F.concat(*lists), lambda x: x != ""))
+
+    return _by_family(ext, {name: found(name) for name in RULES}, F.array().cast("array<string>"))
 
 
 def extract(source_files: DataFrame) -> DataFrame:
-    """``path, raw, is_relative`` of every file, each specifier once a file."""
-    slim = source_files.where("path is not null and content is not null").select("path", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for p, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ext = p.rsplit(".", 1)[-1].lower() if "." in p.rsplit("/", 1)[-1] else ""
-                rows += [(p, raw, rel) for raw, rel in dict.fromkeys(specifiers(c.decode("utf-8", "replace"), ext))]
-            a, r, s = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(r, pa.string()), pa.array(s, pa.bool_())], names=["path", "raw", "is_relative"])
-
-    return slim.mapInArrow(run, "path string, raw string, is_relative boolean").distinct()
-
-
-def _normal(path: str) -> str:
-    out: list[str] = []
-    for p in path.split("/"):
-        if p in ("", "."):
-            continue
-        if p == "..":
-            if out:
-                out.pop()
-        else:
-            out.append(p)
-    return ("/" if path.startswith("/") else "") + "/".join(out)
-
-
-def paths_for(path: str, root: str, raw: str, relative: bool) -> list[str]:
-    """Paths that a specifier may stand for, best first."""
-    ext = path.rsplit(".", 1)[-1].lower()
-    rule = RULES.get(ext)
-    here = path.rsplit("/", 1)[0]
-    if rule == "py":
-        dots = len(raw) - len(raw.lstrip("."))
-        base = here
-        for _ in range(dots - 1):
-            base = base.rsplit("/", 1)[0]
-        inner = raw.lstrip(".").replace(".", "/")
-        start = f"{base if dots else root}/{inner}".rstrip("/")
-        found = [f"{start}.py", f"{start}/__init__.py"]
-    elif rule == "js":
-        found = [f"{here}/{raw}{end}" for end in ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")] if relative else []
-    elif rule == "c":
-        found = [f"{here}/{raw}", f"{root}/{raw}"]
-    elif rule == "rs":
-        inner = re.sub(r"^super::", "../", re.sub(r"^(crate|self)::", "", raw)).replace("::", "/")
-        found = [f"{root}/src/{inner}.rs", f"{root}/src/{inner}/mod.rs"]
-    elif rule == "rb":
-        found = [f"{here if relative else root + '/lib'}/{raw.removesuffix('.rb')}.rb"]
-    elif rule in ("sh", "php"):
-        found = [f"{here}/{raw}"]
-    else:
-        found = []
-    return list(dict.fromkeys(map(_normal, found)))
+    """``path, raw, is_relative`` of every file, each specifier once a file; bytes that are not UTF-8 are replaced."""
+    ext = F.lower(paths.extension(F.col("path")))
+    body = F.make_valid_utf8(F.col("content").cast("string"))
+    rows = source_files.where("path is not null and content is not null").select("path", ext.alias("ext"), F.explode(specifiers(body, ext)).alias("raw"))
+    family = _by_family(F.col("ext"), {f: F.lit(f) for f in RULES}, F.lit(""))
+    raw = F.when(family == "rb", F.regexp_replace("raw", r"^require(_relative)?\s*\(?\s*[\"']", "")).otherwise(F.col("raw"))
+    relative = (
+        F.when(family == "py", F.col("raw").startswith("."))
+        .when(family.isin("c", "sh", "php"), F.lit(True))
+        .when(family == "rb", F.col("raw").startswith("require_relative") | raw.startswith("./") | raw.startswith("../"))
+        .otherwise(F.col("raw").startswith("./") | F.col("raw").startswith("../"))
+    )
+    return rows.select("path", raw.alias("raw"), relative.alias("is_relative")).distinct()
+
+
+def paths_for(path: Column, raw: Column, relative: Column) -> Column:
+    """Paths that a specifier may stand for, best first. The repository's root is the first three parts of an
+    absolute path, '' of a relative one."""
+    root = F.regexp_extract(path, r"^(/[^/]+/[^/]+/[^/]+)", 1)
+    here = paths.folder(path)
+    inner = F.ltrim(raw, F.lit("."))
+    dots = F.length(raw) - F.length(inner)
+    base = F.when(dots > 0, F.concat(here, F.repeat(F.lit("/.."), dots - 1))).otherwise(root)
+    start = F.rtrim(F.concat(base, F.lit("/"), F.replace(inner, F.lit("."), F.lit("/"))), F.lit("/"))
+    crate = F.replace(F.regexp_replace(F.regexp_replace(raw, "^(crate|self)::", ""), "^super::", "../"), F.lit("::"), F.lit("/"))
+    none = F.array().cast("array<string>")
+    of = {
+        "py": F.array(F.concat(start, F.lit(".py")), F.concat(start, F.lit("/__init__.py"))),
+        "js": F.when(relative, F.array(*(F.concat(here, F.lit("/"), raw, F.lit(end)) for end in ("", ".js", ".ts", ".jsx", ".tsx", "/index.js", "/index.ts")))).otherwise(none),
+        "c": F.array(F.concat(here, F.lit("/"), raw), F.concat(root, F.lit("/"), raw)),
+        "rs": F.array(F.concat(root, F.lit("/src/"), crate, F.lit(".rs")), F.concat(root, F.lit("/src/"), crate, F.lit("/mod.rs"))),
+        "rb": F.array(F.concat(F.when(relative, here).otherwise(F.concat(root, F.lit("/lib"))), F.lit("/"), F.regexp_replace(raw, r"\.rb$", ""), F.lit(".rb"))),
+        "sh": F.array(F.concat(here, F.lit("/"), raw)),
+        "php": F.array(F.concat(here, F.lit("/"), raw)),
+    }
+    found = _by_family(F.lower(paths.extension(path)), of, none)
+    return F.array_distinct(F.filter(F.transform(found, paths.normalize), lambda x: x != ""))
 
 
 def candidates(specs: DataFrame) -> DataFrame:
-    """``group_id, path, raw, ordinal, candidate``; the repository's root is the path's first three parts
-    below ``/srv/repos``-like roots, or '' for relative paths."""
-    slim = specs.select("group_id", "path", "raw", "is_relative")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for g, p, raw, rel in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                root = "/".join(p.split("/")[:4]) if p.startswith("/") else ""
-                rows += [(g, p, raw, n, c) for n, c in enumerate(paths_for(p, root, raw, bool(rel)))]
-            g, p, r, n, c = zip(*rows, strict=True) if rows else ((),) * 5
-            s = pa.string()
-            yield pa.RecordBatch.from_arrays([pa.array(g, s), pa.array(p, s), pa.array(r, s), pa.array(n, pa.int32()), pa.array(c, s)], names=["group_id", "path", "raw", "ordinal", "candidate"])
-
-    return slim.mapInArrow(run, "group_id string, path string, raw string, ordinal int, candidate string").where(F.col("candidate") != "")
+    """``group_id, path, raw, ordinal, candidate``."""
+    return specs.select("group_id", "path", "raw", F.posexplode(paths_for(F.col("path"), F.col("raw"), F.col("is_relative"))).alias("ordinal", "candidate"))

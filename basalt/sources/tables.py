@@ -30,6 +30,29 @@ def replace(df: DataFrame, path: str, partition: str | None = "group_id") -> Non
     fs.delete(backup, True)
 
 
+def replace_parts(df: DataFrame, path: str, by: str = "group_id", clear: DataFrame | None = None) -> None:
+    """Writes only the partitions that ``df`` holds, in the place of what they held; the rows must not come from
+    ``path`` itself. Partitions named by ``clear`` that ``df`` has no rows for are dropped."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").partitionBy(by).option("partitionOverwriteMode", "dynamic").parquet(path)
+    if clear is not None:
+        left = clear.join(df.select(by).distinct(), by, "left_anti")
+        for r in left.toLocalIterator():
+            _, p, fs = _fs(spark, f"{path.rstrip('/')}/{by}={r[0]}")
+            fs.delete(p, True)
+
+
+def claim(spark: SparkSession, folder: str, group_id: str) -> bool:
+    """Whether this run may take in a group: true for the one that makes the group's mark, until ``release``."""
+    _, p, fs = _fs(spark, f"{folder.rstrip('/')}/{group_id}.running")
+    return bool(fs.createNewFile(p))
+
+
+def release(spark: SparkSession, folder: str, group_id: str) -> None:
+    _, p, fs = _fs(spark, f"{folder.rstrip('/')}/{group_id}.running")
+    fs.delete(p, False)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     _, p, fs = _fs(spark, path)
     return fs.exists(p)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from basalt.operators import extract, upsert
-from basalt.session import fresh_path
+from basalt import schema
+from basalt.operators import extract, graph, upsert
+from basalt.session import fresh_path, stage
 from basalt.sources import tables
 
 
@@ -44,26 +45,36 @@ def latest_by(stream: DataFrame, key: str, order: str, out: str) -> StreamingQue
     return run(stream, merge)
 
 
-def reindex(stream: DataFrame, chunks_path: str, now: int) -> StreamingQuery:
-    """Re-reads the files of each micro-batch (``path, content``; NULL content is a deleted file), upserts
-    their chunks behind the hash gate and invalidates symbols and files that are gone."""
+def reindex(stream: DataFrame, chunks_path: str, now: int, edges_path: str | None = None, order: str = "at") -> StreamingQuery:
+    """Re-reads the files of each micro-batch (``group_id, path, content, at``; NULL content is a deleted file): of
+    several events of a path the last by ``order`` counts. Their chunks are upserted behind the hash gate with
+    every column of the table, symbols and files that are gone become invalid, and the call edges under
+    ``edges_path`` are refreshed.
+
+    Both tables are partitioned by ``group_id``; only the groups of the batch are read and written, so a
+    batch costs what its projects hold. A batch that is replayed writes the same state again."""
     spark = stream.sparkSession
-    columns = "id string, path string, symbol string, content_hash string, valid boolean, created_at bigint, updated_at bigint"
 
     def step(batch: DataFrame, n: int) -> None:
-        batch = batch.groupBy("path").agg(F.max_by("content", F.length("content")).alias("content"))
-        fresh = extract.extract(batch)
-        old = spark.read.schema(columns).parquet(chunks_path) if tables.exists(spark, chunks_path) else spark.createDataFrame([], columns)
-        state = upsert.chunks(old, fresh, now)
-        where = old.select("id", "path", "symbol").unionByName(fresh.select("id", "path", "symbol")).dropDuplicates(["id"])
-        alive = fresh.select("id").distinct().withColumn("alive", F.lit(True))
-        touched = batch.select("path").distinct().withColumn("touched", F.lit(True))
-        full = state.join(where, "id").join(alive, "id", "left").join(touched, "path", "left")
-        gone = F.col("touched").isNotNull() & F.col("alive").isNull()
-        done = full.select(
-            "id", "path", "symbol", "content_hash", (F.col("valid") & ~gone).alias("valid"), "created_at",
-            F.when(gone & F.col("valid"), F.lit(now)).otherwise(F.col("updated_at")).cast("bigint").alias("updated_at"),
-        )
-        tables.replace(done, chunks_path, partition=None)
+        last = stage(batch.groupBy("group_id", "path").agg(F.max_by(F.struct("content"), F.struct(order, F.xxhash64("content"))).alias("x")).select("group_id", "path", "x.content"), "events")
+        fresh = extract.extract(last.select("path", "content")).join(last.select("group_id", "path"), "path")
+        groups = last.select("group_id").distinct()
+        if tables.exists(spark, chunks_path):
+            known = spark.read.parquet(chunks_path)
+            old = known.join(groups, "group_id", "left_semi")
+        else:
+            old = spark.createDataFrame([], schema.CHUNKS)
+        state = upsert.chunks(old, fresh, now).drop("action")
+        alive = fresh.select("id").distinct().withColumn("_alive", F.lit(True))
+        touched = last.select("group_id", "path").withColumn("_touched", F.lit(True))
+        full = state.join(alive, "id", "left").join(touched, ["group_id", "path"], "left")
+        gone = F.col("_touched").isNotNull() & F.col("_alive").isNull() & F.col("valid")
+        updated = F.when(gone, F.lit(now)).otherwise(F.col("updated_at")).cast("bigint")
+        done = stage(full.withColumn("updated_at", updated).withColumn("valid", F.col("valid") & ~gone).select(*state.columns), "state")
+        tables.replace_parts(done, chunks_path)
+        if edges_path:
+            fresh_edges = stage(graph.call_edges(done), "edges")
+            # a group without edges left still gets its (empty) part
+            tables.replace_parts(fresh_edges, edges_path, clear=groups)
 
     return run(stream, step)

@@ -82,6 +82,16 @@ def test_readable_and_ignore(spark):
     assert got(files.gitignore(["# no", "", "/gen/"])) == ["/r/a.py", "/r/keep/gen/y.py"]
     assert got(files.gitignore(["gen/"])) == ["/r/a.py"]
     assert files.gitignore(["#x"]) is None
+    # the last match decides
+    names = spark.createDataFrame([(x,) for x in ("a.log", "keep.log", "d/keep.log", "other.txt")], "p string")
+    left = lambda *lines: sorted(r.p for r in names.where(~F.col("p").rlike(files.gitignore(list(lines)))).collect())
+    assert left("*.log", "!keep.log") == ["d/keep.log", "keep.log", "other.txt"]
+    assert left("*.log", "!keep.log", "keep.log") == ["other.txt"]
+    assert left("*.log", "!/keep.log") == ["keep.log", "other.txt"]
+    # the graph reads more extensions and skips no suffix
+    more = spark.createDataFrame([("/r/a.hs", 1), ("/r/b.min.js", 1), ("/r/C.PY", 1)], "path string, length bigint")
+    kept = more.where(files.readable(F.col("path"), F.col("length"), "/r", None, files.PARSED + files.GRAPH_ONLY, ()))
+    assert [r.path for r in kept.collect()] == ["/r/a.hs", "/r/b.min.js"]
 
 
 def test_porcelain(spark):

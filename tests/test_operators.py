@@ -1,13 +1,15 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from basalt.operators import extract, facts, graph, imports, search, transcript, upsert
+from basalt import schema
+from basalt.operators import extract, facts, fetch, graph, imports, search, transcript, upsert
 from basalt.sources import files, tables
 from basalt.streaming import reindex
 
-CHUNK = "id string, group_id string, symbol string, valid boolean, content string"
+CHUNK = "id string, group_id string, path string, symbol string, valid boolean, content string"
 
 
 def chunks(spark, rows):
@@ -20,17 +22,27 @@ def edges_of(df):
 
 def test_call_edges(spark):
     rows = [
-        ("1", "g", "m.a", True, "b(); b(); dup(); a(); barfoo()"),
-        ("2", "g", "m.b", True, "a()"),
-        ("3", "g", "m.dup", True, ""),
-        ("4", "g", "n.dup", True, None),
-        ("5", "g", "m.foo", True, "gone()"),
-        ("6", "g", "m.gone", False, "a()"),
-        ("7", "h", "m.c", True, "b()"),
+        ("1", "g", "/r/m.js", "m.a", True, "function a() { b(); b(); dup(); a(); barfoo() }"),
+        ("2", "g", "/r/m.js", "m.b", True, "function b() { a() }"),
+        ("3", "g", "/r/m.js", "m.dup", True, ""),
+        ("4", "g", "/r/m.js", "n.dup", True, None),
+        ("5", "g", "/r/m.js", "m.foo", True, "function foo() { gone() }"),
+        ("6", "g", "/r/m.js", "m.gone", False, "function gone() { a() }"),
+        ("7", "h", "/r/m.js", "m.c", True, "function c() { b() }"),
     ]
     assert edges_of(graph.call_edges(chunks(spark, rows))) == {("1", "2"), ("2", "1")}
 
 
+def test_impact_and_callers(spark):
+    rows = [(i, g, f"/r/{i}.py", f"m.{i}", True, t) for i, g, t in (("a", "g", "def a(): b()"), ("b", "g", "def b(): c()"), ("c", "g", "def c(): a()"), ("d", "g", "def d(): b()"), ("a2", "h", "def a2(): b()"))]
+    c = chunks(spark, rows).withColumns({"kind": F.lit("function"), "signature": F.col("content"), "start_line": F.lit(1), "end_line": F.lit(1)})
+    e = graph.call_edges(c)
+    got = lambda df: {(r.symbol, r.path, r.depth) for r in df.collect()}
+    assert got(graph.impact_of(c, e, "a", "g", 2)) == {("m.b", "/r/b.py", 1), ("m.c", "/r/c.py", 2)}
+    assert got(graph.callers_of(c, e, "m.b", "g")) == {("m.a", "/r/a.py", 1), ("m.d", "/r/d.py", 1)}
+    assert graph.impact_of(c, e, "none", "g").count() == 0 and graph.callers_of(c, e, "b", "h").count() == 0
+
+
 def test_reach(spark):
     e = spark.createDataFrame([("g", a, b) for a, b in ("ab", "ba", "ax", "xc", "cd")], "group_id string, src_id string, dst_id string")
     nodes = spark.createDataFrame([(x, x != "x") for x in "abxcd"], "id string, valid boolean")
@@ -92,6 +104,32 @@ def test_extract(spark):
     assert py.encode()[got["x.A.m"].start_byte : got["x.A.m"].end_byte].decode() == got["x.A.m"].content
 
 
+@pytest.mark.parametrize(
+    ("ext", "source", "want"),
+    [
+        ("cjs", "const a = (x) => {\n  return x;\n};\nfunction b(y) { return () => y; }\n", ["<anonymous>", "b"]),
+        ("ts", "export default class A<T> {\n  private async go(x: number): Promise<void> { if (x) { } }\n}\nlist.map((q: T) => q.id);\n", ["A.go", "<anonymous>"]),
+        ("go", "func (s *S) Run(a int) error {\n\tif a > 0 { }\n\treturn nil\n}\nvar f = func(x int) int { return x }\n", ["Run", "<anonymous>"]),
+        ("rs", "impl<'a> Tree<'a> {\n    pub fn put(&mut self, v: &'a str) -> u8 { if v == \"}\" { 1 } else { 2 } }\n}\nfn main() {}\ntrait T { fn no(&self); }\n", ["<anonymous>.put", "main"]),
+        ("java", "class A {\n  @Override\n  public <T> List<T> all(Map<String, T> m) throws E {\n    if (m.isEmpty()) { }\n  }\n  A(int n) { }\n}\n", ["A.all", "A.A"]),
+        ("cpp", "namespace n {\nclass Box : public Base {\n public:\n  Box(int a) : a_(a) {}\n  int size() const { return a_; }\n};\n}\nint n::Box::area(const std::vector<int>& v) {\n  return 1;\n}\n", ["Box.Box", "Box.size", "n::Box::area"]),
+        ("cs", "class A {\n    public int Add(int a, int b) => a + b;\n    protected override void Go() { while (true) { } }\n}\n", ["A.Add", "A.Go"]),
+        ("rb", "class A\n  def run(x)\n    if x\n      y do |z|\n      end\n    end\n  end\n\n  def self.make\n  end\nend\n", ["run", "make"]),
+        ("php", "<?php\nfinal class A {\n  public function go(array $x): ?int { return f(fn($y) => $y); }\n}\nfunction top() { }\n", ["A.go", "top"]),
+        ("kt", "class A(val x: Int) {\n    suspend fun go(a: Int): Int {\n        return a\n    }\n    fun one() = 1\n}\n", ["A.go", "A.one"]),
+        ("swift", "struct A {\n    func go(_ x: Int) -> Int {\n        return x\n    }\n}\n", ["A.go"]),
+        ("scala", "class A {\n  def go(x: Int): Int = {\n    x\n  }\n  def one: Int = 1\n}\n", ["A.go", "A.one"]),
+        ("lua", "local function a(x)\n  if x then return 1 end\nend\nfunction M.b()\nend\n", ["a", "M.b"]),
+        ("sh", "go() {\n  echo \"}\"\n}\nfunction stop {\n  :\n}\n", ["go", "stop"]),
+        ("hs", "main = 1\n", []),
+    ],
+)
+def test_extract_languages(ext, source, want):
+    got = extract.functions(source, ext)
+    assert [n for n, *_ in got] == want
+    assert all(source[a:z] and source[a:z] == source[a:z].strip() for _, _, a, z in got)
+
+
 def test_rrf_ties_go_to_the_vector_list(spark):
     near = spark.createDataFrame([("v", 0.9)], "id string, sim double")
     said = spark.createDataFrame([("t", 3)], "id string, score int")
@@ -122,12 +160,17 @@ def test_near_duplicates(spark):
 
 def test_upsert_is_idempotent(spark):
     ddl = "id string, content_hash string, valid boolean, created_at bigint, updated_at bigint, path string"
-    old = spark.createDataFrame([("same", "h", False, 1, 1, "p"), ("new", "h", True, 1, 1, "p"), ("kept", "h", False, 1, 1, "q")], ddl)
-    new = spark.createDataFrame([("same", "h"), ("new", "i"), ("more", "j")], "id string, content_hash string")
+    old = spark.createDataFrame([("same", "h", False, 1, 1, "p"), ("new", "h", True, 1, 1, "p"), ("kept", "h", False, 1, 1, "q")], ddl).withColumn("emb", F.array(F.lit(1.0)))
+    new = spark.createDataFrame([("same", "h", "r"), ("new", "i", "r"), ("more", "j", "r")], "id string, content_hash string, path string")
     got = {r.id: tuple(r)[1:] for r in upsert.chunks(old, new, 9).collect()}
-    assert got == {"same": ("h", True, 1, 1, "unchanged"), "new": ("i", True, 1, 9, "updated"), "more": ("j", True, 9, 9, "inserted"), "kept": ("h", False, 1, 1, "kept")}
+    assert got == {
+        "same": ("h", True, 1, 1, "p", [1.0], "unchanged"), "new": ("i", True, 1, 9, "r", None, "updated"),
+        "more": ("j", True, 9, 9, "r", None, "inserted"), "kept": ("h", False, 1, 1, "q", [1.0], "kept"),
+    }
     again = upsert.chunks(upsert.chunks(old, new, 9), new, 10)
-    assert tuple(upsert.ingest_stats(again).collect()[0]) == (3, 0, 3)
+    assert tuple(upsert.ingest_stats(again).collect()[0]) == (3, 0, 3, 0)
+    read = spark.createDataFrame([("a", b"x"), ("b", None)], "path string, content binary")
+    assert tuple(upsert.ingest_stats(again, read).collect()[0]) == (3, 0, 3, 1)
 
 
 def test_invalidate(spark):
@@ -168,17 +211,59 @@ def test_files_and_stream(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text(lines)
     assert [(r.turn, r.role, r.text) for r in files.transcript(spark, str(tmp_path / "t.jsonl")).orderBy("turn").collect()] == [(0, "user", "hi"), (1, None, None), (2, "assistant", "yo")]
     (tmp_path / "log.jsonl").write_text('{"tool": "Edit", "path": "p", "ts": 1}\nnope\n{"path": "q", "ts": 2}\n')
-    assert {tuple(r) for r in files.session_log(spark, str(tmp_path / "log.jsonl")).collect()} == {("Edit", "p", 1), ("?", "q", 2)}
-
-    ddl = "path string, content binary"
-    out = str(tmp_path / "chunks")
-    for n, rows in enumerate(([("/r/a.py", b"def f():\n    pass\n\ndef g():\n    pass\n")], [("/r/a.py", b"def f():\n    return 1\n")], [("/r/a.py", None)])):
+    assert {(r.tool, r.path, r.ts) for r in files.session_log(spark, str(tmp_path / "log.jsonl")).collect()} == {("Edit", "p", 1), ("?", "q", 2)}
+
+
+def test_reindex(spark, tmp_path):
+    """The latest event counts, deletes too; every column and the other groups stay; edges follow."""
+    ddl = "group_id string, path string, content binary, at bigint"
+    out, edges = str(tmp_path / "chunks"), str(tmp_path / "edges")
+    other = spark.createDataFrame([("x", "h", "/q/z.py", "z.f", [1.0], True, 1, 1)], "id string, group_id string, path string, symbol string, emb array<float>, valid boolean, created_at bigint, updated_at bigint")
+    tables.replace_parts(other.unionByName(spark.createDataFrame([], schema.CHUNKS), allowMissingColumns=True).select(*schema.CHUNKS.names), out)
+    steps = [
+        [("g", "/r/a.py", b"def f():\n    g()\n\ndef g():\n    pass\n", 1)],
+        [("g", "/r/a.py", b"def f():\n    pass\n\n\n\n\ndef g():\n    return 'a longer text'\n", 2), ("g", "/r/a.py", b"def f():\n    return 1\n", 3)],
+        [("g", "/r/a.py", None, 5), ("g", "/r/a.py", b"def f():\n    return 2\n", 4)],
+    ]
+    want = [{"a.f": (True, 1, 1), "a.g": (True, 1, 1)}, {"a.f": (True, 1, 2), "a.g": (False, 1, 2)}, {"a.f": (False, 1, 3), "a.g": (False, 1, 2)}]
+    for n, rows in enumerate(steps):
         spark.createDataFrame(rows, ddl).write.parquet(str(tmp_path / f"in{n}"))
         s = reindex.source(spark, str(tmp_path / f"in{n}"), spark.createDataFrame([], ddl).schema)
-        q = reindex.reindex(s, out, n + 1)
-        q.awaitTermination()
-        state = {r.symbol: (r.valid, r.created_at, r.updated_at) for r in spark.read.parquet(out).collect()}
-        assert state == [{"a.f": (True, 1, 1), "a.g": (True, 1, 1)}, {"a.f": (True, 1, 2), "a.g": (False, 1, 2)}, {"a.f": (False, 1, 3), "a.g": (False, 1, 2)}][n]
+        reindex.reindex(s, out, n + 1, edges).awaitTermination()
+        now = spark.read.parquet(out)
+        assert {r.symbol: (r.valid, r.created_at, r.updated_at) for r in now.where("group_id = 'g'").collect()} == want[n]
+        assert [(r.id, r.emb) for r in now.where("group_id = 'h'").collect()] == [("x", [1.0])]
+        assert {*schema.CHUNKS.names} <= {*now.columns}
+        assert len([1 for _ in os.scandir(edges) if _.name == "group_id=g"]) == (n == 0)
+
+
+def test_claim(spark, tmp_path):
+    at = str(tmp_path)
+    assert tables.claim(spark, at, "g") and not tables.claim(spark, at, "g") and tables.claim(spark, at, "h")
+    tables.release(spark, at, "g")
+    assert tables.claim(spark, at, "g")
+
+
+def test_adding_facts(spark):
+    ddl = "id string, group_id string, content string, emb array<float>, emb_model string, created_at bigint, anchor string"
+    old = facts.with_defaults(spark.createDataFrame([("a", "g", "x", [1.0, 0.0], "m", 1, None)], ddl), 1)
+    new = spark.createDataFrame([("b", "g", "y", [1.0, 0.01], "m", 5, "s.f"), ("c", "g", "z", [0.0, 1.0], "m", 5, "s.f"), ("d", "g", "v", None, None, None, None), ("e", "h", "x", [1.0, 0.0], "m", 5, "")], ddl)
+    c = spark.createDataFrame([("k", "g", "s.f", True)], "id string, group_id string, symbol string, valid boolean")
+    status, rows, edges = facts.add(old, new, c, 9)
+    assert {(r.id, r.status, r.existing_id) for r in status.collect()} == {("b", "duplicate", "a"), ("c", "new", None), ("d", "new", None), ("e", "new", None)}
+    assert {(r.id, r.type, r.source, r.valid_from, r.invalid_at, r.created_at, r.anchor, r.emb_dim) for r in rows.collect()} == {
+        ("c", "fact", "session", 9, None, 5, "s.f", 2), ("d", "fact", "session", 9, None, 9, None, None), ("e", "fact", "session", 9, None, 5, None, 2),
+    }
+    assert {(r.fact_id, r.chunk_id) for r in edges.collect()} == {("c", "k")}
+
+
+def test_fetch(spark):
+    c = spark.createDataFrame([("k", "g", "/r/a.py", "a.f", 2, 99), ("m", "g", "/r/gone.py", "gone.f", 1, 2)], "id string, group_id string, path string, symbol string, start_line int, end_line int")
+    s = spark.createDataFrame([("/r/a.py", b"one\ntwo\nthr\xffee"), ("/r/a.py", b"one\ntwo\nthr\xffee")], "path string, content binary")
+    q = spark.createDataFrame([("1", "g", "k", None, None), ("2", "h", "k", None, None), ("3", "g", "m", None, None), ("4", "g", None, "/r/a.py", "a.q"), ("5", "g", None, "/r/a.py", None), ("6", None, "k", None, None)], "request string, group_id string, id string, path string, symbol string")
+    got = {r.request: (r.source, r.start_line, r.end_line, r.error) for r in fetch.fetch(q, c, s).collect()}
+    assert got["1"] == ("two\nthr\ufffdee", 2, 3, None)
+    assert {k: v[3] for k, v in got.items() if k != "1"} == {"2": "chunk not found", "3": "file not found", "4": "symbol not found", "5": "incomplete request", "6": "incomplete request"}
 
 
 def test_replace_keeps_rows(spark, tmp_path):

@@ -10,6 +10,9 @@ from basalt.plans import oracle, queries
 DIR = "/root/testdata/sf0.001"
 SQL = oracle.oracle_sql()
 
+#: parsers, which SQL cannot express; tests/test_operators.py holds them against cases
+UNCHECKED = ("chunk_extract", "stream_reindex")
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 
 
@@ -35,6 +38,7 @@ def cell(v):
 def test_query(spark, duck, name):
     got = queries.queries()[name](spark, DIR).toPandas()
     if name not in SQL:
+        assert name in UNCHECKED and len(got)
         return
     want = duck.execute(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
