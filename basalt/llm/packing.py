@@ -1,12 +1,13 @@
 """Filling fixed-capacity containers.
 
 Method. Vector best-fit, decreasing: an item takes tokens, one document place and an attention cost
-(the square of its tokens) from a container. Of the containers that can take it under every
-constraint it goes to the one with the least weighted residual norm afterwards; the token residual
-leads, the residuals of places and attention decide between containers of the same token residual.
-With the attention capacity that ``pack`` gives by default, the square of the tokens', this constraint is
-slack: sizes that sum to at most the capacity have squares that sum to at most its square. Containers of
-one residual are ranked over the first places only, until one at place 65 or later is feasible.
+(the square of its tokens) from a container. Of all containers that can take it under every
+constraint it goes to the fullest: the one whose residuals (tokens after the item, places and attention
+before it, each as a share of its capacity) have the least weighted square norm. Open containers lie in
+a heap for each token residual, so the whole set is ranked and none is passed over.
+No attention capacity that admits an item of the full token capacity can bind, as sizes that sum to at most the
+capacity have squares that sum to at most its square; it binds where a caller sets it lower, and an item
+above it alone gets a container of its own.
 
 The token counts are taken where the texts lie; only (key, piece, tokens) is shuffled, to shards of
 about ``per_shard`` items by a hash of the key, and each shard is packed by itself. A shard leaves a
@@ -20,6 +21,7 @@ repeated rows are packed once each; order of input does not matter, ties go by k
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,35 +33,50 @@ from basalt.llm import splitting, tokens
 CAPACITY = 2048
 
 
+#: weights of the residuals of tokens, places and attention
+WEIGHTS = (64.0, 1.0, 1.0)
+
+
 class Bins:
-    """Open containers by token residual; a bit mask tells which residuals there are."""
+    """Open containers in a heap for each token residual; a bit mask tells which residuals there are."""
 
-    def __init__(self, capacity: int, places: int, attention: int):
-        self.capacity, self.places, self.attention = capacity, places, attention
-        self.by_residual: list[list[int]] = [[] for _ in range(capacity + 1)]
+    def __init__(self, capacity: int, places: int, attention: int, weights: tuple[float, float, float] = WEIGHTS):
+        self.capacity, self.places, self.attention, self.weights = capacity, places, attention, weights
+        self.by_residual: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
         self.mask = 0
         self.left: list[list[int]] = []
 
+    def _norm(self, b: int) -> float:
+        _, p, a = self.left[b]
+        return self.weights[1] * (p / self.places) ** 2 + self.weights[2] * (a / self.attention) ** 2
+
     def put(self, size: int) -> int:
-        cost = size * size
+        cost = min(size * size, self.attention)
+        best, norm, at = -1, 0.0, -1
         rest = self.mask >> size
         while rest:
             r = size + (rest & -rest).bit_length() - 1
-            best, norm = -1, 0.0
-            for k, b in enumerate(self.by_residual[r]):
-                _, p, a = self.left[b]
-                if p >= 1 and a >= cost:
-                    x = ((p - 1) / self.places) ** 2 + ((a - cost) / self.attention) ** 2
-                    if best < 0 or x < norm:
-                        best, norm = k, x
-                    if k >= 64:  # containers of one residual are ranked over the first places; any further one is feasible as well
-                        break
-            if best >= 0:
-                b = self.by_residual[r].pop(best)
-                if not self.by_residual[r]:
-                    self.mask &= ~(1 << r)
+            least = self.weights[0] * ((r - size) / self.capacity) ** 2
+            if best >= 0 and least >= norm:
                 break
+            heap, passed = self.by_residual[r], []
+            while heap and self.left[heap[0][1]][2] < cost:
+                passed.append(heappop(heap))
+            if heap and (best < 0 or least + heap[0][0] < norm):
+                best, norm, at = heap[0][1], least + heap[0][0], r
+            for x in passed:
+                heappush(heap, x)
             rest &= rest - 1
+        if best >= 0:
+            heap, passed = self.by_residual[at], []
+            while heap[0][1] != best:  # those above it have too little attention left
+                passed.append(heappop(heap))
+            heappop(heap)
+            for x in passed:
+                heappush(heap, x)
+            if not heap:
+                self.mask &= ~(1 << at)
+            b = best
         else:
             b = len(self.left)
             self.left.append([self.capacity, self.places, self.attention])
@@ -68,7 +85,7 @@ class Bins:
         left[1] -= 1
         left[2] -= cost
         if left[1] > 0:
-            self.by_residual[left[0]].append(b)
+            heappush(self.by_residual[left[0]], (self._norm(b), b))
             self.mask |= 1 << left[0]
         return b
 

@@ -88,3 +88,49 @@ def test_pack(spark):
     assert (out.groupby("doc_id").piece.max() > 0).sum() == 1 and len(out[out.doc_id == 1003]) == 2
     assert boxes.sum() / 2048 / len(boxes) > 0.95
     assert packing.pack(df.where("false")).count() == 0
+
+
+def fits(bins, sizes):
+    where = [bins.put(n) for n in sizes]
+    for b in set(where):
+        held = [n for n, w in zip(sizes, where, strict=True) if w == b]
+        assert sum(held) <= bins.capacity and len(held) <= bins.places and (len(held) == 1 or sum(n * n for n in held) <= bins.attention)
+    return where
+
+
+def test_every_constraint_binds():
+    import random
+
+    rng = random.Random(2)
+    sizes = sorted((rng.randrange(1, 60) for _ in range(3000)), reverse=True)
+    wide = fits(packing.Bins(100, 128, 10_000), sizes)
+    assert sum(sizes) >= 0.99 * 100 * (max(wide) + 1 - 1)
+    few = fits(packing.Bins(100, 2, 10_000), sizes)
+    tight = fits(packing.Bins(100, 128, 2500), sizes)
+    assert max(few) > max(wide) and max(tight) > max(wide)
+
+
+def test_best_fit_looks_at_every_container():
+    """Against a scan of all containers, with many of one residual and little attention left in the first ones."""
+    import random
+
+    rng = random.Random(4)
+    sizes = [50] * 150 + [rng.randrange(1, 12) for _ in range(600)]
+    bins = packing.Bins(60, 9, 2600)
+    for n in sizes:
+        cost = min(n * n, 2600)
+        able = [(64 * ((t - n) / 60) ** 2 + bins._norm(b), b) for b, (t, p, a) in enumerate(bins.left) if t >= n and p > 0 and a >= cost]
+        want = min(able)[0] if able else None
+        count = len(bins.left)
+        norm = {b: 64 * ((bins.left[b][0] - n) / 60) ** 2 + bins._norm(b) for b in range(count)}
+        got = bins.put(n)
+        assert (got == count) == (want is None) and (want is None or abs(norm[got] - want) < 1e-12)
+
+
+def test_fill_of_the_test_documents(spark):
+    import os
+
+    if os.path.isdir("/root/testdata/sf0.01"):
+        df = packing.pack(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+        row = df.groupBy("container").agg(F.sum("n_tokens").alias("n")).agg(F.max("n").alias("most"), (F.sum("n") / F.count("*") / 2048).alias("fill")).collect()[0]
+        assert row.most <= 2048 and row.fill >= 0.99
