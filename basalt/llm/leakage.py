@@ -11,12 +11,16 @@ cut once, leave twelve in at most five runs, one of which has three words. Candi
 common words in order (longest common subsequence with bounded gaps and one interruption of any
 length), weighted so that a skeleton of frequent words does not count.
 
-Shared instructions are found, not listed: five-word runs that open several items are taken out.
+Shared instructions are found, not listed: an opening of any length that several items share is taken out.
+
+Words are runs of letters, digits and underscores of any script, without accents; a Chinese, Japanese or Korean
+character is a word. Letters that look Latin are read as Latin within a word that has Latin letters, and in
+words of nothing but such letters where the text is mostly Latin.
 
 Bounds. The evaluation items are the small side (a benchmark does not grow with the corpus): their
-words, passages and the sketch (words x ``rank``) are on the driver and broadcast, guarded by
-``MOST_ITEM_WORDS``; a larger benchmark is to be run in parts. Nothing of the documents is collected
-but the sums over all of them.
+words, passages and the sketch (words x ``rank``) are on the driver and broadcast. A benchmark of more than
+``MOST_ITEM_WORDS`` words is taken in parts, by a hash of the item, each a search of its own. Nothing of the
+documents is collected but the sums over all of them.
 
 Defined results: NULL or blank documents and items match nothing; an item that is shorter than
 ``LEAST`` words cannot leak; repeated documents come out under each of their ids; repeated rows once.
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
@@ -47,7 +52,7 @@ RARE = 4
 PART = 0.45
 OWN_WORDS, LEAST_WEIGHT = 4, 1.5
 SHARED = 3
-MOST_ITEM_WORDS = 2_000_000
+MOST_ITEM_WORDS = 200_000
 
 WORD = re.compile(r"[a-z0-9_]+")
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -57,16 +62,18 @@ ALIKE = str.maketrans(
     "aeopcxyijsdqABEKMHOPCTXIoavABEHIKMNOPTX",
 )
 OTHER = re.compile("[\u0370-\u052f]")
+LATIN = re.compile("[a-z]")
+#: a character of a script without blanks, or a run of word characters
+ANY_WORD = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\\W\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 BROKEN = re.compile(r"(\w)-\s*\n\s*(\w)")
 TAG = re.compile(r"</?[a-zA-Z][a-zA-Z0-9]{0,9}(?:\s[^<>]{0,200})?/?>")
 
 
 def words(text: str) -> list[str]:
     """The words of a text, with what reformatting adds taken away."""
-    if not text.isascii():
+    foreign = not text.isascii()
+    if foreign:
         text = HIDDEN.sub("", text)
-        if OTHER.search(text):
-            text = text.translate(ALIKE)
     if "&" in text and ";" in text:
         text = html.unescape(text)
     if "<" in text:
@@ -75,7 +82,19 @@ def words(text: str) -> list[str]:
         text = BROKEN.sub(r"\1\2", text)
     if "\\" in text:
         text = text.replace("\\_", "_").replace("\\n", " ").replace("\\t", " ").replace("\\r", " ")
-    return WORD.findall(text.lower())
+    text = text.lower()
+    if not foreign:
+        return WORD.findall(text)
+    # letters are parted from their accents, which are no word characters
+    out = ANY_WORD.findall("".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)))
+    if OTHER.search(text):
+        latin = 2 * sum(1 for w in out if LATIN.search(w)) > len(out)
+        for k, w in enumerate(out):
+            if OTHER.search(w):
+                plain = w.translate(ALIKE).lower()
+                if LATIN.search(w) or latin and plain.isascii():
+                    out[k] = plain
+    return out
 
 
 class Items:
@@ -89,25 +108,28 @@ class Items:
                 w = words(x or "")
                 if w and w not in texts[i]:
                     texts[i].append(w)
-        if sum(len(w) for ws in texts.values() for w in ws) > MOST_ITEM_WORDS:
-            raise ValueError("more evaluation text than can be broadcast: run it in parts")
-        opening = Counter(g for ws in texts.values() for g in {tuple(w[k : k + 5]) for w in ws for k in range(min(40, max(0, len(w) - 4)))})
-        # a run is an instruction if it stands in at least three items and in one item of fifty
-        shared = {g for g, n in opening.items() if n >= max(3, len(texts) / 50)}
+        # an opening is an instruction as far as at least three items, and one of fifty, share it
+        least = max(3, len(texts) / 50)
+        openings = [(i, w) for i, ws in texts.items() for w in ws]
+        shared = [0] * len(openings)
+        alive, k = range(len(openings)), 0
+        while alive:
+            by: dict[tuple, list[int]] = {}
+            for x in alive:
+                w = openings[x][1]
+                if len(w) > k:
+                    # what has come so far is the same for all of a group, so its first member names it
+                    by.setdefault((shared_by[x] if k else -1, w[k]), []).append(x)
+            shared_by = {x: g[0] for g in by.values() for x in g}
+            k += 1
+            alive = [x for g in by.values() if len({openings[x][0] for x in g}) >= least for x in g]
+            for x in alive:
+                shared[x] = k
         self.sequences: list[tuple[int, list[str]]] = []
-        for i, ws in texts.items():
-            for w in ws:
-                out = np.zeros(len(w), bool)
-                for k in range(min(40, max(0, len(w) - 4))):
-                    if tuple(w[k : k + 5]) in shared:
-                        out[k : k + 5] = True
-                # only an opening is cut off: skeletons within sentences stay
-                cut = 0
-                while cut < len(w) and out[cut]:
-                    cut += 1
-                w = w[cut:] if cut >= 10 else w
-                if len(w) >= LEAST:
-                    self.sequences.append((i, w))
+        for (i, w), cut in zip(openings, shared, strict=True):
+            w = w[cut:] if cut >= 10 else w
+            if len(w) >= LEAST:
+                self.sequences.append((i, w))
         self.vocabulary = {w: k for k, w in enumerate(sorted({x for _, w in self.sequences for x in w}))}
         # items share skeletons: a place whose three-word runs all stand in few items is the item's own
         owners: dict[tuple, set[int]] = {}
@@ -364,8 +386,20 @@ GAP, AROUND = 9, 120
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", cosine: float = COSINE) -> DataFrame:
     """``doc_id, item_id, words``: documents with a passage of an item, and how many words of it."""
+    known = items.where(F.col(item).isNotNull()).select(item, "text", "answer").distinct()
+    # blanks part words, and a text has a word at least for every few characters that have none
+    sizes = known.agg(F.sum(F.length(F.concat_ws(" ", "text", "answer")) / 5)).collect()[0][0] or 0
+    parts = max(1, -(-int(sizes) // MOST_ITEM_WORDS))
+    out = None
+    for n in range(parts):
+        got = _leaks(docs, known.where(F.pmod(F.xxhash64(item), F.lit(parts)) == n), key, text, item, cosine)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _leaks(docs: DataFrame, items: DataFrame, key: str, text: str, item: str, cosine: float) -> DataFrame:
     spark = docs.sparkSession
-    side = Items([(r[0], r[1], r[2]) for r in items.where(F.col(item).isNotNull()).select(item, "text", "answer").distinct().orderBy(item).collect()])
+    side = Items([(r[0], r[1], r[2]) for r in items.orderBy(item).collect()])
     n = len(side.vocabulary)
     out_ddl = f"{key} bigint, {item} bigint, words int"
     if not n:
@@ -419,8 +453,9 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                 stop = np.minimum(start + SPAN, off[doc + 1])
                 # a candidate needs RARE different words of one item, so a window with fewer is none
                 heavy = np.flatnonzero((run[stop] - run[start] >= least) & (rares[stop] - rares[start] >= RARE))
-                for at in range(0, len(heavy), 4096):
-                    h = heavy[at : at + 4096]
+                block = max(64, min(4096, (1 << 24) // max(1, len(pas))))
+                for at in range(0, len(heavy), block):
+                    h = heavy[at : at + block]
                     # the words of the windows, side by side; a window cut off by its text's end is filled with none
                     grid = start[h][:, None] + np.arange(SPAN)
                     wid = np.where(grid < stop[h][:, None], w[np.minimum(grid, len(w) - 1)], -1)

@@ -101,3 +101,32 @@ def test_words():
 @pytest.mark.parametrize(("a", "b", "n"), [([1, 2, 3], [1, 3], 2), ([], [1], 0), ([1, 1, 2], [2, 1, 1], 2)])
 def test_common(a, b, n):
     assert leakage.common(a, b) == n
+
+
+def test_words_of_other_scripts():
+    assert leakage.words("Café naïve Größe") == ["cafe", "naive", "große"]
+    assert leakage.words("漢字 abc") == ["漢", "字", "abc"]
+    assert leakage.words("стол и дом") == ["стол", "и", "дом"]
+    # a look-alike word in Latin text, and a Russian one of the same letters in Russian text
+    assert leakage.words("please сору the file now") == ["please", "copy", "the", "file", "now"]
+    assert leakage.words("мы просили сору дома") == ["мы", "просили", "сору", "дома"]
+
+
+def test_long_instruction_is_an_opening():
+    ask = " ".join(f"{NOUNS[k]} should be {NOUNS[k + 1]}" for k in range(60)) + ". "
+    side = leakage.Items([(i, ask + sentence(R) + " " + sentence(R), None) for i in range(10)])
+    assert len(side.sequences) == 10 and all(w[:3] != leakage.words(ask)[:3] and len(w) < 80 for _, w in side.sequences)
+
+
+def test_items_in_parts_and_scripts(spark, monkeypatch):
+    body = lambda i: ITEMS[i][1].removeprefix(ASK)
+    r = random.Random(3)
+    chinese = "".join(chr(0x4E00 + r.randrange(2000)) for _ in range(60))
+    russian = " ".join("".join(r.choice("бвгджзиклмнпрстуфц") for _ in range(6)) for _ in range(40))
+    more = spark.createDataFrame([*ITEMS, (90, chinese, None), (91, russian, None), (92, None, None)], "item_id bigint, text string, answer string")
+    mid = " ".join(NOISE[:2])
+    df = docs(spark, [(1, f"{mid} {body(2)} {mid}"), (2, f"{mid} {chinese[10:40]} {mid}"), (3, f"{mid} {' '.join(russian.split()[5:30])} {mid}")])
+    whole = {(x.doc_id, x.item_id) for x in leakage.leaks(df, more).collect()}
+    assert whole == {(1, 2), (2, 90), (3, 91)}
+    monkeypatch.setattr(leakage, "MOST_ITEM_WORDS", 400)
+    assert {(x.doc_id, x.item_id) for x in leakage.leaks(df, more).collect()} == whole
