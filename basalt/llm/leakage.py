@@ -63,6 +63,8 @@ ALIKE = str.maketrans(
 )
 OTHER = re.compile("[\u0370-\u052f]")
 LATIN = re.compile("[a-z]")
+ACCENT = re.compile("[\u0300-\u036f]+")
+LETTERS = re.compile(r"[^\W\x00-\x7f]")
 #: a character of a script without blanks, or a run of word characters
 ANY_WORD = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]|[^\\W\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]+")
 BROKEN = re.compile(r"(\w)-\s*\n\s*(\w)")
@@ -85,8 +87,11 @@ def words(text: str) -> list[str]:
     text = text.lower()
     if not foreign:
         return WORD.findall(text)
-    # letters are parted from their accents, which are no word characters
-    out = ANY_WORD.findall("".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)))
+    # letters are parted from their accents
+    text = ACCENT.sub("", unicodedata.normalize("NFKD", text))
+    if not LETTERS.search(text):
+        return WORD.findall(text)
+    out = ANY_WORD.findall(text)
     if OTHER.search(text):
         latin = 2 * sum(1 for w in out if LATIN.search(w)) > len(out)
         for k, w in enumerate(out):
