@@ -315,34 +315,42 @@ def chain(doc: list[int], spots: list[int], item: list[int], places: dict[int, l
         return 0, 0, 0.0, 1.0, 0
     plain, cut = [0.0] * n, [-1.0] * n  # without and with the interruption
     back: list[tuple[tuple[int, int] | None, tuple[int, int] | None]] = [(None, None)] * n
-    near: dict[int, list[int]] = {}  # by rank: what lies before
-    ended: dict[int, int] = {}  # by rank: the best of those without an interruption
+    # by rank, five places up: what lies before, the best of those without an interruption, the place in the item
+    ranks = 6 + max(r for _, _, r, _ in pairs)
+    near: list[list[int]] = [[] for _ in range(ranks)]
+    ended = [-1] * ranks
+    spot = [0] * ranks
+    for _, q, r, _ in pairs:
+        spot[r + 5] = q
     before = 0
     for k, (p, q, r, w) in enumerate(pairs):
         while pairs[before][0] < p:
-            rb = pairs[before][2]
-            near.setdefault(rb, []).append(before)
-            if rb not in ended or plain[before] > plain[ended[rb]]:
+            rb = pairs[before][2] + 5
+            near[rb].append(before)
+            if ended[rb] < 0 or plain[before] > plain[ended[rb]]:
                 ended[rb] = before
             before += 1
         b0, b1, f0, f1 = w, -1.0, None, None
         for dr in (1, 2, 3, 4, 5):
-            js = near.get(r - dr)
-            if js is None:
+            js = near[r + 5 - dr]
+            if not js:
                 continue
-            over = q - pairs[js[0]][1]
+            over = q - spot[r + 5 - dr]
             if over > 2 * GAP:
                 break
             gain = w - 0.25 * (dr - 1)
+            reach = p - GAP - over
             for j in reversed(js):
-                if p - pairs[j][0] > GAP + over:
+                if pairs[j][0] < reach:
                     break
                 if plain[j] + gain > b0:
                     b0, f0 = plain[j] + gain, (j, 0)
                 if cut[j] >= 0 and cut[j] + gain > b1:
                     b1, f1 = cut[j] + gain, (j, 1)
-            if dr <= 2 and plain[ended[r - dr]] + gain - 0.4 > b1:
-                b1, f1 = plain[ended[r - dr]] + gain - 0.4, (ended[r - dr], 0)
+            if dr <= 2:
+                j = ended[r + 5 - dr]
+                if plain[j] + gain - 0.4 > b1:
+                    b1, f1 = plain[j] + gain - 0.4, (j, 0)
         plain[k], cut[k] = b0, b1
         back[k] = f0, f1
     k, c = plain.index(max(plain)), 0
