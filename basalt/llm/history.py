@@ -281,11 +281,16 @@ class HistoryIndex:
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return jvm.org.apache.hadoop.fs.Path, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def done(self) -> list[int]:
-        """Numbers of the batches that were written whole."""
+    def _done(self) -> dict[int, int]:
+        """The batches that were written whole, with their numbers of texts; a mark's name holds both."""
         path, fs = self._fs()
         at = path(f"{self.path}/done")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(at)) if fs.exists(at) else []
+        marks = [s.getPath().getName().split("-") for s in fs.listStatus(at)] if fs.exists(at) else []
+        return {int(b): int(n) for b, n in sorted(marks)}
+
+    def done(self) -> list[int]:
+        """Numbers of the batches that were written whole."""
+        return list(self._done())
 
     def _read(self, name: str, schema: str, batches: list[int]) -> DataFrame:
         paths = [f"{self.path}/{name}/{b:08d}" for b in batches]
@@ -304,8 +309,8 @@ class HistoryIndex:
             return kept.where(_within(F.col(key), few)).where(F.col(key).isin(few))
         return kept.join(wanted, key, "left_semi")
 
-    def _learn(self, feats: DataFrame, before: list[int], batch: int) -> DataFrame:
-        """Merges the batch's counts with those of the batch before; the words with their flags."""
+    def _learn(self, feats: DataFrame, before: list[int], batch: int) -> tuple[DataFrame, int]:
+        """Merges the batch's counts with those of the batch before; the words with their flags, and the batch's texts."""
         words, pairs, mine = counted(feats)
         last = before[-1:]
         old = self._read("words", WORDS, last)
@@ -313,10 +318,9 @@ class HistoryIndex:
         merged = merged.groupBy("word").agg(F.sum("df").alias("df"), F.sum("edge").alias("edge"), F.min(F.struct("born", "df0")).alias("b")).select("word", "df", "edge", "b.born", "b.df0")
         both = self._read("pairs", PAIRS, last).unionByName(pairs).groupBy("word", "other").agg(F.sum("n").alias("n"), F.bit_or("seen").alias("seen"))
         both.write.mode("overwrite").parquet(f"{self.path}/pairs/{batch:08d}")
-        size = self._read("size", "n bigint", before).agg(F.sum("n")).collect()[0][0] or 0
-        self.spark.createDataFrame([(mine,)], "n bigint").write.mode("overwrite").parquet(f"{self.path}/size/{batch:08d}")
-        wording(merged, self._read("pairs", PAIRS, [batch]), size + mine).select(*(x.split()[0] for x in WORDS.split(", "))).write.mode("overwrite").parquet(f"{self.path}/words/{batch:08d}")
-        return self._read("words", WORDS, [batch])
+        texts = sum(n for b, n in self._done().items() if b in before) + mine
+        wording(merged, self._read("pairs", PAIRS, [batch]), texts).select(*(x.split()[0] for x in WORDS.split(", "))).write.mode("overwrite").parquet(f"{self.path}/words/{batch:08d}")
+        return self._read("words", WORDS, [batch]), mine
 
     def accept(self, feats: DataFrame, batch: int | None = None, stored: bool = False) -> DataFrame:
         """Checks a batch (rows of ``featurise``) against the history and itself; returns ``id, earlier_id`` of
@@ -328,7 +332,7 @@ class HistoryIndex:
         feats = feats if stored else stage(feats, "batch")
         if feats.isEmpty():
             return self.spark.createDataFrame([], "id string, earlier_id string")
-        words = self._learn(feats, before, batch)
+        words, texts = self._learn(feats, before, batch)
         order = F.struct("at", "id")
         exact = F.concat_ws("\u0001", "sym", F.concat_ws(" ", "nums"), F.col("taken_back").cast("string"))
         cid = F.xxhash64("group_id", "form")
@@ -378,7 +382,8 @@ class HistoryIndex:
         self._write(_postings(fresh), "postings", batch, "token")
         self._write(self._vectors(feats, fresh), "vectors", batch, "cid")
         path, fs = self._fs()
-        fs.create(path(f"{self.path}/done/{batch:08d}"), True).close()
+        fs.delete(path(f"{self.path}/done/{batch:08d}-{self._done().get(batch, 0)}"), False)
+        fs.create(path(f"{self.path}/done/{batch:08d}-{texts}"), True).close()
         return out
 
     @staticmethod
@@ -393,7 +398,7 @@ class HistoryIndex:
         gone = edges.where("old").select("cid").distinct()
         rest = edges.where("not old").join(gone, "cid", "left_anti")
         rejected = gone
-        while True:
+        while not rest.isEmpty():
             # what has no open class before it is accepted; what meets such a class is rejected
             open_ = rest.select("cid").distinct()
             now = rest.join(rejected.select(F.col("cid").alias("other")), "other", "left_anti")
@@ -404,10 +409,7 @@ class HistoryIndex:
             rejected = rejected.unionByName(more)
             left = now.join(more, "cid", "left_anti")
             # edges that lead to rejected classes alone are dropped: their class is accepted
-            left = stage(left.join(more.select(F.col("cid").alias("other")), "other", "left_anti"), "open")
-            if left.isEmpty():
-                break
-            rest = left
+            rest = stage(left.join(more.select(F.col("cid").alias("other")), "other", "left_anti"), "open")
         # a class is paired with the earliest accepted one (history, where the same class may stand as well, is accepted)
         ok = edges.where("not old").join(rejected, "cid", "left_semi").join(rejected.select(F.col("cid").alias("other")), "other", "left_anti")
         ok = ok.select("cid", "seen").unionByName(edges.where("old").select("cid", "seen"))
