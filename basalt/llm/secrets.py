@@ -58,7 +58,7 @@ TOKEN_SHAPES = {
 }
 SHAPES = {k: re.compile(v) for k, v in TOKEN_SHAPES.items()}
 
-# Stems of names that hold credentials, and words that make a name speak of one only.
+# Chosen here: stems of names that hold credentials, and words that make a name speak of one only.
 STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "pw", "pin", "salt")
 DIRECT = frozenset(
     "pass password passwd passphrase passcode pwd pw secret token apikey credential credentials cred creds auth pin".split()

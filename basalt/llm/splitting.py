@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from basalt.llm import tokens
 
-# What ends a unit of text, best first.
+# Chosen here: what ends a unit of text, best first.
 BOUNDARIES = (
     re.compile(r"\n[ \t\r]*\n\s*"),
     re.compile(r"\n"),
