@@ -44,10 +44,16 @@ MADE = re.compile(
     r"produit(e)? par \w+ a partir de|ne pas modifier|erzeugt (von|aus|mit)|nicht (bearbeiten|aendern|ändern)|generado por|no (editar|modificar)|généré (par|automatiquement)|genere (par|automatiquement))"
 )
 COPIED = re.compile(
-    r"(?i)(\(c\) (the )?[\w ]+ (authors|contributors|developers)\b.*licen[cs]e|spdx-license-identifier:.*\b(upstream|vendored|from)\b|imported (unchanged|verbatim|without changes) from|"
-    r"this file is part of [\w ]+ v?\d|copyright \(c\) [\d\- ,]*[\w .]+\. redistribution and use|redistribution and use in source and binary forms|copied (unchanged|verbatim|from upstream)|"
-    r"v?\d+\.\d+\.\d+ - .{3,80} - https?://\S+ - (released|licensed|distributed) under|vendored (from|copy)|^[\W_]*!\s*\w+ v\d+\.\d+|upstream (commit|version|revision|release)|(released|distributed|licensed) under (the )?(mit|bsd|apache|gpl|lgpl|mpl|isc)\b)"
+    r"(?i)(imported (unchanged|verbatim|without changes) from|"
+    r"copyright \(c\) [\d\- ,]*+[\w .]*(?<=[\w .])(?<!\(c\) )\. redistribution and use|redistribution and use in source and binary forms|copied (unchanged|verbatim|from upstream)|"
+    r"(?<!\d)v?\d++\.\d++\.\d++ - .{3,80} - https?://\S+ - (released|licensed|distributed) under|vendored (from|copy)|^[\W_]*!\s*\w+ v\d+\.\d+|upstream (commit|version|revision|release)|(released|distributed|licensed) under (the )?(mit|bsd|apache|gpl|lgpl|mpl|isc)\b)"
 )
+#: the same in two parts, the second anywhere after the first: one search each, as a line may repeat the first
+COPIED_BY = (
+    (re.compile(r"(?i)\(c\) (the )?[\w ]+? (authors|contributors|developers)\b"), re.compile(r"(?i)licen[cs]e")),
+    (re.compile(r"(?i)spdx-license-identifier:"), re.compile(r"(?i)\b(upstream|vendored|from)\b")),
+)
+PART_OF, RELEASE = re.compile(r"(?i)this file is part of ([\w ]++)"), re.compile(r"(?i)[\w ] v?\d")
 STEMS = (
     "generat", "generé", "généré", "genere", "generado", "edit", "modif", "bearbeiten", "ndern", "output of", "produced by", "produit", "machine", "sourcemappingurl", "written", "emitted",
     "created", "compiled", "rendered", "derived", "changes will be", "source of truth", "erzeugt", "copyright", "(c)", "spdx", "imported", "part of", "redistribution", "copied", "licen",
@@ -68,10 +74,12 @@ LIMITS = {
     "c": (800, 140, 0.09, 0.60, 1200),
     "sh": (1500, 200, 0.07, 0.60, 1200),
 }
-RUN = re.compile(rb"[A-Za-z0-9+/=]{64,}|(?:\\x[0-9a-fA-F]{2}){24,}|(?:[0-9a-fA-F]{2}){40,}")
+SPAN = 64
+RUN = re.compile(rb"[A-Za-z0-9+/=]{64,}|(?:\\x[0-9a-fA-F]{2}){24,}")
 NUMBER = re.compile(rb"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)(?![\w])")
 WORD = re.compile(rb"[A-Za-z_]\w*")
-TABLE = re.compile(rb"[\[({]*(?:[-+]?(?:0[xX][0-9a-fA-F]+|\d[\d_.eE]*)[\])}]*\s*,?\s*){3,}[\])};]*")
+# three digits or hexadecimal numbers at least; every text is read in one way only, as lines may be of any length
+TABLE = re.compile(rb"[\[({]*+(?:[-+]?+(?:0[xX][0-9a-fA-F](?:[0-9a-fA-F]*[a-dfA-DF])?+[eE]*+|\d[_.eE]*+)[\])}]*+\s*+(?:,\s*+)?+){3,}+[\])};]*+")
 GIVES = re.compile(rb"(?m)\breturn\b|=>")
 COMMENT = re.compile(r"(?m)^[ \t\ufeff]*(?:#|//|/\*|\*|<!--|\"\"\"|'''|;|--).*")
 COUNTS = ("n_bytes", "n_lines", "max_line", "white", "alnum")
@@ -83,6 +91,12 @@ _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 # the shape of a line: words as w, numbers as 0
 _SHAPES = bytes(48 if 48 <= c <= 57 else 119 if 65 <= c <= 90 or 97 <= c <= 122 or c == 95 or c > 127 else c for c in range(256))
+# bytes that no encoded run holds
+_ELSE = np.ones(256, bool)
+_ELSE[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/=\\"]] = False
+_DIGIT, _WORD = np.zeros(256, bool), np.zeros(256, bool)
+_DIGIT[48:58] = True
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 95]] = True
 _WORDS, _NUMBERS = re.compile(rb"w[w0]+"), re.compile(rb"00+")
 
 
@@ -105,7 +119,7 @@ def statistics(raw: bytes) -> dict[str, float]:
     runs = [m.end() - m.start() for m in RUN.finditer(raw)]
     numbers, words = len(NUMBER.findall(raw)), len(WORD.findall(raw))
     literal = sum(len(x) for x in lines if x[0] in b"[({+-0123456789" and TABLE.fullmatch(x))
-    shapes = Counter(x for x in _NUMBERS.sub(b"0", _WORDS.sub(b"w", b"\n".join(lines).translate(_SHAPES))).split(b"\n") if len(x) > 6)
+    shapes = _shapes(lines)
     kept = sum(shapes.values())
     common = sum(c for _, c in shapes.most_common(2))
     return {
@@ -123,6 +137,43 @@ def statistics(raw: bytes) -> dict[str, float]:
     }
 
 
+def _shapes(lines: list[bytes]) -> Counter:
+    return Counter(x for x in _NUMBERS.sub(b"0", _WORDS.sub(b"w", b"\n".join(lines).translate(_SHAPES))).split(b"\n") if len(x) > 6)
+
+
+def _gap(at: np.ndarray, n: int) -> int:
+    """The longest stretch of ``n`` places without one of the sorted places ``at``."""
+    return int(max(at[0], n - 1 - at[-1], (at[1:] - at[:-1]).max(initial=1) - 1)) if len(at) else n
+
+
+def _open(raw: bytes, lang: str) -> bool:
+    """Whether the statistics can make a case at all, by bounds that cost a tenth of them."""
+    longest, _, _, numeric, _ = LIMITS[lang]
+    at = np.frombuffer(raw, np.uint8)
+    # lines that end in a carriage return only are shorter
+    if _gap(np.flatnonzero(at == 10), len(at)) > longest // 3:
+        return True
+    if _gap(np.flatnonzero(_ELSE[at]), len(at)) >= SPAN:
+        return True
+    # a number begins where a word might, and every other such place begins a word
+    word = _WORD[at]
+    starts = at[1:][word[1:] & ~word[:-1]]
+    starts = np.append(starts, at[:1]) if word[0] else starts
+    if int(_DIGIT[starts].sum()) > numeric / 2 * len(starts):
+        return True
+    lines = [x for x in map(bytes.strip, raw.splitlines()) if x]
+    if raw.count(b"return") + raw.count(b"=>") <= 0.15 * len(lines) or len(GIVES.findall(raw)) <= 0.15 * len(lines):
+        return False
+    shapes = _shapes(lines)
+    return sum(c for _, c in shapes.most_common(2)) > 0.6 * sum(shapes.values())
+
+
+def _copied(s: str) -> bool:
+    if COPIED.search(s) or any(RELEASE.search(m.group(1)) for m in PART_OF.finditer(s)):
+        return True
+    return any((m := first.search(s)) and then.search(s, m.end()) for first, then in COPIED_BY)
+
+
 def _said(text: str) -> str:
     """What the comments of a file say about it."""
     low = text.lower()
@@ -135,7 +186,7 @@ def _said(text: str) -> str:
         if any(w in at for w in stems) and not OURS.search(s):
             if MADE.search(s):
                 return "generated"
-            if COPIED.search(s):
+            if _copied(s):
                 return "vendored"
     return ""
 
@@ -162,6 +213,8 @@ def verdict(path: str | None, raw: bytes, st: dict[str, float] | None = None) ->
         return "generated"
     if (said := _said(text)) or lang is None:
         return said
+    if st is None and not _open(raw, lang):
+        return ""
     st = st or statistics(raw)
     longest, mean, white, numeric, run = LIMITS[lang]
     if st["encoded_share"] > 0.5 or st["encoded_run"] > run and st["encoded_share"] > 0.25:

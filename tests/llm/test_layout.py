@@ -70,3 +70,41 @@ def test_marker_below_a_long_preamble(mark, block):
 def test_counts_are_bytes():
     assert layout.counts("é a1\n\tb\n".encode()) == {"n_bytes": 9, "n_lines": 3, "max_line": 5, "white": 4, "alnum": 5}
     assert layout.counts(b"") == {"n_bytes": 0, "n_lines": 1, "max_line": 0, "white": 0, "alnum": 0}
+
+
+@pytest.mark.parametrize(
+    "line",
+    [
+        ", ".join(str(100 + 7 * i) for i in range(40)) + ", // and the rest",
+        "1" * 200_000 + "!",
+        "[" + ",   ".join("12" * 9 for _ in range(5000)) + " x",
+        "// " + "1" * 100_000 + " released",
+        "// copyright (c) " + "1 " * 50_000 + "generated",
+        "// " + "(c) the authors " * 20_000,
+        "// " + "SPDX-License-Identifier: (c) " * 10_000,
+        "// " + "this file is part of " * 10_000,
+    ],
+)
+def test_long_lines_end(line):
+    """Each took hours or minutes when a line could be read in many ways."""
+    from time import process_time
+
+    start = process_time()
+    layout.verdict("src/a.c", (line + "\nint x;\n").encode())
+    layout.statistics((line + "\n").encode())
+    assert process_time() - start < 10
+
+
+@pytest.mark.parametrize(
+    ("line", "row"),
+    [(b"12, 200, 31,", True), (b"200,", True), (b"20,", False), (b"0x1F, 0xA0, 0x3", True), (b"0x1F,", False), (b"{-1.5e-3, 2, +4};", True), (b"12, 200, 31, // x", False), (b"100x200", True)],
+)
+def test_rows_of_numbers(line, row):
+    assert bool(layout.TABLE.fullmatch(line)) == row
+
+
+@pytest.mark.parametrize("text", [CODE, NUMBERS, BLOB, MIN, TABLE, "x = 1", "\n", "a" * 63 + "\n", "a" * 64, "def a(): return b\n" * 30, "x = 5\n" * 9, '"' + r"\x41" * 300 + '"\n'])
+def test_bounds_leave_verdicts_as_they_are(text):
+    for suffix in ("py", "js", "sh", "c"):
+        raw = text.encode()
+        assert layout.verdict(f"a/b.{suffix}", raw) == layout.verdict(f"a/b.{suffix}", raw, layout.statistics(raw))
